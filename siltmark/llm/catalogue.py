@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltmark.llm import p1_neighbours, p2_overlap, p5_quota, p6_splits, p7_leaks, p8_mix, p9_spans
+from siltmark.llm import p1_neighbours, p2_overlap, p3_history, p4_clusters, p5_quota, p6_splits, p7_leaks, p8_mix, p9_spans
 
 QUERIES = {
     "p1_found": p1_neighbours.p1_found,
@@ -10,6 +10,10 @@ QUERIES = {
     "p1_agreement": p1_neighbours.p1_agreement,
     "p2_found": p2_overlap.p2_found,
     "p2_report": p2_overlap.p2_report,
+    "p3_found": p3_history.p3_found,
+    "p3_batches": p3_history.p3_batches,
+    "p4_found": p4_clusters.p4_found,
+    "p4_clusters": p4_clusters.p4_clusters,
     "p5_found": p5_quota.p5_found,
     "p5_report": p5_quota.p5_report,
     "p5_sample": p5_quota.p5_sample,

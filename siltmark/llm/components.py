@@ -39,7 +39,9 @@ def _collapse(edges: DataFrame, turn: int) -> DataFrame:
 def _relabel(edges: DataFrame, pointers: DataFrame) -> DataFrame:
     to_u = pointers.select("u", F.col("p").alias("pu"))
     to_v = pointers.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-    moved = edges.join(to_u, "u", "left").join(to_v, "v", "left").select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
+    moved = edges.join(to_u, "u", "left").join(to_v, "v", "left")
+    # an edge along which a vertex collapsed is spent, also where its target moves on in this round
+    moved = moved.where(~F.col("pu").eqNullSafe(F.col("v")) & ~F.col("pv").eqNullSafe(F.col("u"))).select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
     return moved.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
