@@ -28,6 +28,8 @@ RUN = 13
 #: Words per passage and between passages: any run of RUN words lies whole in some passage.
 PASSAGE, STEP = 2 * RUN, RUN
 FEATURES, RANK, EXTRA, POWER_PASSES = 4096, 48, 16, 1
+#: Passages and texts that a task holds at a time.
+BLOCK, TEXTS = 2048, 256
 #: An item is asked for in pieces of RUN words, PIECE_STEP apart.
 PIECE_STEP = 3
 COSINE = 0.45
@@ -43,22 +45,39 @@ def _windows(n: int) -> range:
     return range(0, max(1, n - PASSAGE + STEP), STEP)
 
 
-def passage_matrix(words: list[list[str]], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, owner): entries of the passages of many texts and the text that each passage is of."""
-    rows, features, owner, at = [], [], [], 0
+def passage_blocks(words: list[list[str]], memo: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of at most BLOCK passages of many texts: (row, feature) of every word, text of every passage."""
+    lengths: list[int] = []
+    features: list[np.ndarray] = []
+    owner: list[int] = []
+
+    def packed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.repeat(np.arange(len(lengths)), lengths), np.concatenate(features), np.array(owner)
+        for part in (lengths, features, owner):
+            part.clear()
+        return out
+
+    if len(memo) > 1 << 19:
+        memo.clear()
     for k, own in enumerate(words):
-        ids = np.fromiter((memo[w] if w in memo else memo.setdefault(w, xxhash.xxh32_intdigest(w) % FEATURES) for w in own), dtype=np.int64, count=len(own))
-        if not len(ids):
+        if not own:
             continue
+        ids = np.fromiter((memo[w] if w in memo else memo.setdefault(w, xxhash.xxh32_intdigest(w) % FEATURES) for w in own), dtype=np.int64, count=len(own))
         for start in _windows(len(ids)):
             part = ids[start : start + PASSAGE]
             features.append(part)
-            rows.append(np.full(len(part), at))
+            lengths.append(len(part))
             owner.append(k)
-            at += 1
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(rows), np.concatenate(features), np.array(owner)
+            if len(owner) == BLOCK:
+                yield packed()
+    if owner:
+        yield packed()
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for low in range(0, len(batch), TEXTS):
+            yield batch.iloc[low : low + TEXTS]
 
 
 def _project(rows: np.ndarray, features: np.ndarray, n: int, weighted: np.ndarray) -> np.ndarray:
@@ -77,12 +96,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo: dict[str, int] = {}
     total, passages = np.zeros(FEATURES, dtype=np.int64), 0
-    for batch in batches:
-        rows, features, owner = passage_matrix([words_of(t) for t in batch.text], memo)
-        if len(memo) > 1 << 20:
-            memo.clear()
-        total += np.bincount(np.unique(rows * FEATURES + features) % FEATURES, minlength=FEATURES)
-        passages += len(owner)
+    for batch in _slices(batches):
+        for rows, features, owner in passage_blocks([words_of(t) for t in batch.text], memo):
+            total += np.bincount(np.unique(rows * FEATURES + features) % FEATURES, minlength=FEATURES)
+            passages += len(owner)
     yield pd.DataFrame({"feature": np.r_[np.flatnonzero(total), -1], "n": np.r_[total[total > 0], passages]})
 
 
@@ -107,20 +124,18 @@ def _gram_times(documents: DataFrame, weights: np.ndarray, basis: np.ndarray) ->
         weight, onto = shared.value
         memo: dict[str, int] = {}
         total = np.zeros((FEATURES, width))
-        for batch in batches:
-            rows, features, owner = passage_matrix([words_of(t) for t in batch.text], memo)
-            if not len(owner):
-                continue
-            cell, count = np.unique(rows * FEATURES + features, return_counts=True)
-            row, feature = cell // FEATURES, cell % FEATURES
-            value = count * weight[feature]
-            norm = np.sqrt(np.bincount(row, value * value, len(owner)))
-            value = (value / norm[row]).astype(np.float32)
-            edges = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-            projected = np.add.reduceat(value[:, None] * onto[feature], edges, axis=0)
-            order = np.argsort(feature, kind="stable")
-            sums = np.add.reduceat((value[:, None] * projected[row])[order], np.r_[0, np.flatnonzero(np.diff(feature[order])) + 1], axis=0)
-            total[np.unique(feature)] += sums
+        for batch in _slices(batches):
+            for rows, features, owner in passage_blocks([words_of(t) for t in batch.text], memo):
+                cell, count = np.unique(rows * FEATURES + features, return_counts=True)
+                row, feature = cell // FEATURES, cell % FEATURES
+                value = count * weight[feature]
+                norm = np.sqrt(np.bincount(row, value * value, len(owner)))
+                value = (value / norm[row]).astype(np.float32)
+                edges = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+                projected = np.add.reduceat(value[:, None] * onto[feature], edges, axis=0)
+                order = np.argsort(feature, kind="stable")
+                sums = np.add.reduceat(value[order, None] * projected[row[order]], np.r_[0, np.flatnonzero(np.diff(feature[order])) + 1], axis=0)
+                total[np.unique(feature)] += sums
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pd.DataFrame({"feature": used.astype(np.int32), "y": list(total[used])})
 
@@ -197,45 +212,37 @@ def leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame
         onto, latent, owner, items = shared.value
         first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
         runs: dict[tuple[str, ...], set[int]] = {}
+        nothing: set[int] = set()
         for k, (_, words) in enumerate(items):
             for i in range(len(words) - RUN + 1):
                 runs.setdefault(tuple(words[i : i + RUN]), set()).add(k)
         memo: dict[str, int] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             words = [words_of(t) for t in batch.text]
             ids = batch.doc_id.to_numpy()
-            rows, features, text = passage_matrix(words, memo)
-            if len(memo) > 1 << 20:
-                memo.clear()
+            best: dict[tuple[int, int], float] = {}
+            for rows, features, text in passage_blocks(words, memo):
+                cosine = _unit(_project(rows, features, len(text), onto)) @ latent.T
+                per_item = np.maximum.reduceat(cosine, first, axis=1)
+                p, k = np.nonzero(per_item >= COSINE)
+                for t, i, c in zip(text[p].tolist(), k.tolist(), per_item[p, k].tolist()):
+                    if c > best.get((t, i), -1.0):
+                        best[t, i] = c
+            by_text: dict[int, dict[int, float]] = {}
+            for (t, i), c in best.items():
+                by_text.setdefault(t, {})[i] = c
             out = []
-            if len(text):
-                passages = _unit(_project(rows, features, len(text), onto))
-                for low in range(0, len(text), 2048):
-                    cosine = passages[low : low + 2048] @ latent.T
-                    per_item = np.maximum.reduceat(cosine, first, axis=1)
-                    p, k = np.nonzero(per_item >= COSINE)
-                    best: dict[tuple[int, int], float] = {}
-                    for t, i, c in zip(text[low + p].tolist(), k.tolist(), per_item[p, k].tolist()):
-                        if c > best.get((t, i), -1.0):
-                            best[t, i] = c
-                    by_text: dict[int, dict[int, float]] = {}
-                    for (t, i), c in best.items():
-                        by_text.setdefault(t, {})[i] = c
-                    for t, found in by_text.items():
-                        own = words[t]
-                        hit = set()
-                        for i in range(len(own) - RUN + 1):
-                            hit |= runs.get(tuple(own[i : i + RUN]), set())
-                        for i, c in found.items():
-                            if i in hit or c >= PARAPHRASE_COSINE:
-                                out.append((i, t, c, i in hit))
-            rows_out: dict[tuple[int, int], tuple] = {}
+            for t, found in by_text.items():
+                own = words[t]
+                hit = set()
+                for i in range(len(own) - RUN + 1):
+                    hit |= runs.get(tuple(own[i : i + RUN]), nothing)
+                for i, c in found.items():
+                    if i in hit or c >= PARAPHRASE_COSINE:
+                        out.append((i, t, c, i in hit))
+            rows_out = {}
             for i, t, c, exact in out:
                 item, own = items[i][1], words[t]
-                old = rows_out.get((i, t))
-                if old:
-                    rows_out[i, t] = (max(old[0], c), *old[1:])
-                    continue
                 part = 0.0
                 for start in range(0, max(1, len(own) - len(item)), len(item)):
                     part = max(part, common_subsequence(item, own[start : start + 2 * len(item)]) / len(item))
