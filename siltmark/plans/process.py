@@ -136,3 +136,52 @@ def stream_perceptual(spark, sf):
     """Greedy perceptual deduplication of the pool, with the kept hashes as state per device."""
     rows = _stream(spark, sf, "pool_manifest").select(F.col("pool_id").alias("id"), "phash", F.coalesce("device", "source").alias("source"))
     return ingest.run_available(ingest.perceptual_dedup(rows, 6), _work(spark))
+
+
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Screens drawn from the sizes of the pool: there are no image files in the test tables."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    from siltmark.functions.imaging import encode_png
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, w, h in zip(batch.pool_id, batch.w, batch.h):
+                rng = np.random.default_rng(int(i))
+                image = np.full((max(24, h // 32), max(24, w // 32), 3), rng.integers(60, 230, 3), np.uint8)
+                for _ in range(12):
+                    y, x = int(rng.integers(0, image.shape[0])), int(rng.integers(0, image.shape[1]))
+                    image[y : y + 9, x : x + 15] = rng.integers(0, 255, 3)
+                yield pd.DataFrame({"path": [f"pool/{i}.png"], "content": [encode_png(image)]})
+
+    rows = table(spark, sf, "pool_manifest").where("w > 0 AND h > 0").select("pool_id", "w", "h")
+    return rows.mapInPandas(draw, "path string, content binary")
+
+
+@query("image_hashes")
+def image_hashes(spark, sf):
+    from siltmark.functions.imaging import hash_images
+
+    return hash_images(_drawn(spark, sf))
+
+
+@query("image_variants")
+def image_variants(spark, sf):
+    """Sizes and hashes of every injected and reflowed variant."""
+    from siltmark.functions import imaging
+
+    made = imaging.make_variants(_drawn(spark, sf), tuple(imaging.KERNELS))
+    hashed = imaging.hash_images(made.select(F.concat_ws("__", "parent", "applied").alias("path"), "content"))
+    return hashed.groupBy(F.element_at(F.split("path", "__"), -1).alias("applied")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("phash").alias("n_hashes"))
+
+
+@query("image_regions")
+def image_regions(spark, sf):
+    """Dead regions found in screens with an injected black strip, by kind and sides."""
+    from siltmark.functions import imaging
+
+    made = imaging.make_variants(_drawn(spark, sf), ("black_region",)).select(F.col("parent").alias("path"), "content")
+    return imaging.find_regions(made).groupBy("kind", "is_band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("score"))

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltmark.functions import vectors
-from siltmark.operators import decide, metrics, similarity
+from siltmark.operators import decide, metrics, similarity, training
 from siltmark.plans.evaluation import midrank, rounded, scored
 from siltmark.plans.registry import query
 from siltmark.session import table
@@ -131,3 +131,11 @@ def logreg_fusion(spark, sf):
     rows = scored(spark, sf).withColumn("aux", F.col("k") / F.lit(100.0))
     (c0, c1), bias = decide.logistic_fit(rows.where("id % 2 = 0"), ["s", "aux"], "y")
     return rows.where("id % 2 = 1").select("id", "y", F.round(decide.fused(F.col("s"), F.col("aux"), c0, c1, bias), 6).alias("p"))
+
+
+@query("head_out_of_fold")
+def head_out_of_fold(spark, sf):
+    """Out-of-fold error scores of the projection head; groups of ten vectors stay together."""
+    rows = embedded(spark, sf).withColumns({"class": F.least(F.col("label"), F.lit(4)).cast("int"), "grp": F.floor(F.col("id") / 10)})
+    scored_rows = training.out_of_fold(rows, "embedding", "class", "grp", 3, training.HeadConfig(hidden=32, out=16, epochs=8))
+    return scored_rows.select("id", "class", "fold", F.round("aux_err", 6).alias("aux_err"))

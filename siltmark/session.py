@@ -50,3 +50,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """`df` in enough partitions to keep all cores busy with work that is heavy per row.
+
+    A small compressed file can be one split; inputs that already have enough splits stay as they are.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
