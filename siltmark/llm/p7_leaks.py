@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from siltmark.llm.words import words_of
-from siltmark.session import table
+from siltmark.session import spread, table
 
 #: Successive words that make a leak.
 RUN = 13
@@ -137,7 +137,7 @@ def _gram_times(documents: DataFrame, weights: np.ndarray, basis: np.ndarray) ->
                 sums = np.add.reduceat(value[order, None] * projected[row[order]], np.r_[0, np.flatnonzero(np.diff(feature[order])) + 1], axis=0)
                 total[np.unique(feature)] += sums
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"feature": used.astype(np.int32), "y": list(total[used])})
+        yield pd.DataFrame({"feature": used.astype(np.int32), "y": pd.Series(list(total[used]), dtype=object)})
 
     sums = [F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(width)]
     out = np.zeros((FEATURES, width))
@@ -255,7 +255,7 @@ def leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = [(r.item_id, words_of(r.text)) for r in table(spark, sf_dir, "eval_passages").select("item_id", "text").collect()]  # 240 rows at every scale
-    return leaks(table(spark, sf_dir, "documents"), items)
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), items)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from siltmark.llm.tokens import source_key, token_count
-from siltmark.session import cut_lineage, table
+from siltmark.session import cut_lineage, spread, table
 
 BITS = 12
 LEVELS = 3
@@ -20,7 +20,7 @@ LEVELS = 3
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, key, tokens, draw): every document once; null texts have no tokens."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("key"), "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("key"), "text"))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 64 - BITS * LEVELS)
     return documents.select("doc_id", "key", token_count()("text").alias("tokens"), draw.alias("draw"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from siltmark.llm.components import random_mate_components
 from siltmark.llm.p2_overlap import minhash
-from siltmark.session import cut_lineage, table
+from siltmark.session import cut_lineage, spread, table
 
 SPAN = 300
 PASSAGE = 240
@@ -146,7 +146,7 @@ def shared_pairs(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, runs) for pairs of different texts, a < b smallest doc_ids of their classes."""
     texts = documents.select("doc_id", "text").where(F.length("text") >= SPAN)
     texts = texts.join(classes.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-    prints = cut_lineage(texts.mapInPandas(_fingerprints, "key long, doc_id long, at int").select("key", "doc_id"))
+    prints = cut_lineage(spread(texts).mapInPandas(_fingerprints, "key long, doc_id long, at int").select("key", "doc_id"))
     sizes = prints.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     kept = cut_lineage(prints.join(sizes, "key"))
     hot_docs = kept.where(F.col("m") > HOT).select("doc_id").distinct()
