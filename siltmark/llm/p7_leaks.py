@@ -13,6 +13,7 @@ eval_passages has 240 rows at every scale, so the items and their pieces are shi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -241,8 +242,12 @@ def leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame
                     if i in hit or c >= PARAPHRASE_COSINE:
                         out.append((i, t, c, i in hit))
             rows_out = {}
+            held = lru_cache(maxsize=4)(lambda t, words=words: set(words[t]))
             for i, t, c, exact in out:
                 item, own = items[i][1], words[t]
+                # the subsequence is no longer than the item's words that occur at all
+                if not exact and sum(map(held(t).__contains__, item)) < PARAPHRASE * len(item):
+                    continue
                 part = 0.0
                 for start in range(0, max(1, len(own) - len(item)), len(item)):
                     part = max(part, common_subsequence(item, own[start : start + 2 * len(item)]) / len(item))
