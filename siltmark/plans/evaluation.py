@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltmark.functions import vectors
-from siltmark.operators import bootstrap, decide, metrics
+from siltmark.operators import bootstrap, decide, metrics, report
 from siltmark.plans.registry import SCORED, SWEEP, query
 from siltmark.session import table
 
@@ -301,3 +301,42 @@ def slice_specificity(spark, sf):
 def verdict(spark, sf):
     per = scored(spark, sf).groupBy("cat").agg(F.avg("s").alias("c"))
     return per.select("cat", F.when(F.col("c") > 0.85, "confound").when(F.col("c") > 0.65, "breaking").otherwise("broken").alias("verdict"))
+
+
+REPORT = " UNION ALL ".join([
+    "SELECT 'ranking' AS block, 'ap' AS metric, round(sum(p1 * tp / np) / max(P), 6) AS value FROM w, tt",
+    "SELECT 'calibration', 'brier', round(avg((s - y) * (s - y)), 6) FROM v",
+    "SELECT 'calibration', 'ece', round(sum(abs(sy - ss)) / (SELECT count(*) FROM v), 6) FROM b",
+    f"SELECT 'ranking', 'auroc', auroc FROM ({midrank('v')})",
+    "SELECT 'ranking', 'n_pos', CAST(sum(y) AS DOUBLE) FROM v",
+    "SELECT 'ranking', 'n_neg', CAST(sum(1 - y) AS DOUBLE) FROM v",
+])
+
+
+@query("evaluation_report", f"WITH {SCORED}, {SWEEP}, {BINS} {REPORT}")
+def evaluation_report(spark, sf):
+    rows = report.evaluate(scored(spark, sf), 0.5)
+    return rows.where("block IN ('ranking', 'calibration')").select("block", "metric", F.round("value", 6).alias("value"))
+
+
+@query("evaluation_full")
+def evaluation_full(spark, sf):
+    """Every block of the report, with detection per category and the bootstrap interval."""
+    rows = scored(spark, sf)
+    return report.evaluate(rows, 0.5, "cat", "view").unionByName(report.with_interval(rows, "g", 20))
+
+
+@query("confound_baselines", f"""WITH o AS (SELECT 'resolution' AS rule, w + h AS s, CAST(source = 'foldable' AS INTEGER) AS y FROM pool_manifest WHERE w > 0 UNION ALL SELECT 'aspect', w / CAST(h AS DOUBLE), CAST(source = 'foldable' AS INTEGER) FROM pool_manifest WHERE w > 0 AND h > 0
+ UNION ALL SELECT 'padding', 1 - (CAST(w AS DOUBLE) * h) / (CAST(greatest(w, h) AS DOUBLE) * greatest(w, h)), CAST(source = 'foldable' AS INTEGER) FROM pool_manifest WHERE w > 0 AND h > 0) {midrank('o', 'rule')}""")
+def confound_baselines(spark, sf):
+    rows = table(spark, sf, "pool_manifest").where("w > 0").withColumn("y", (F.col("source") == "foldable").cast("int"))
+    w, h = F.col("w").cast("double"), F.col("h").cast("double")
+    arms = F.array(F.struct(F.lit("resolution").alias("rule"), (w + h).alias("s")), F.struct(F.lit("aspect").alias("rule"), F.when(h > 0, F.try_divide(w, h)).alias("s")), F.struct(F.lit("padding").alias("rule"), F.when(h > 0, vectors.pad_fraction(F.col("w"), F.col("h"))).alias("s")))
+    return rounded(metrics.auroc(rows.select("y", F.explode(arms).alias("a")).select("y", "a.*"), ["rule"]).select("rule", "auroc"), "auroc")
+
+
+@query("report_extract", "SELECT event_type, CAST(max(CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)) AS INTEGER) AS most, round(avg(CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)), 6) AS mean FROM events GROUP BY 1")
+def report_extract(spark, sf):
+    """Nested values out of JSON reports, with null for what is missing."""
+    parsed = table(spark, sf, "events").select("event_type", F.from_json("props", "k int").alias("r"))
+    return rounded(parsed.groupBy("event_type").agg(F.max("r.k").alias("most"), F.avg("r.k").alias("mean")), "mean")

@@ -185,3 +185,20 @@ def image_regions(spark, sf):
 
     made = imaging.make_variants(_drawn(spark, sf), ("black_region",)).select(F.col("parent").alias("path"), "content")
     return imaging.find_regions(made).groupBy("kind", "is_band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("score"))
+
+
+@query("rebuild_dataset")
+def rebuild_dataset(spark, sf):
+    """Rows and groups of each split and category after the whole rebuild."""
+    from siltmark import pipeline
+    from siltmark.config import Config
+
+    rows = pipeline.rebuild(table(spark, sf, "labels"), Config())
+    return rows.groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group").alias("n_groups"), F.sum("copies").alias("copies"))
+
+
+@query("weighted_sample")
+def weighted_sample(spark, sf):
+    from siltmark.operators.localize import weighted_sample as draw
+
+    return draw(table(spark, sf, "events").select("event_id", "value"), "value", "event_id", 50).select("event_id")

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltmark.functions import vectors
-from siltmark.operators import decide, metrics, similarity, training
+from siltmark.operators import decide, localize, metrics, similarity, training
 from siltmark.plans.evaluation import midrank, rounded, scored
 from siltmark.plans.registry import query
 from siltmark.session import table
@@ -139,3 +139,20 @@ def head_out_of_fold(spark, sf):
     rows = embedded(spark, sf).withColumns({"class": F.least(F.col("label"), F.lit(4)).cast("int"), "grp": F.floor(F.col("id") / 10)})
     scored_rows = training.out_of_fold(rows, "embedding", "class", "grp", 3, training.HeadConfig(hidden=32, out=16, epochs=8))
     return scored_rows.select("id", "class", "fold", F.round("aux_err", 6).alias("aux_err"))
+
+
+PATCH = """d AS (SELECT q_id, sqrt(greatest(2 - 2 * max(cosine), 0)) AS distance FROM (SELECT a.id AS q_id, list_dot_product(a.z, b.z) AS cosine FROM u a, u b WHERE a.id % 2 = 1 AND b.id % 2 = 0 AND b.label = 0) GROUP BY 1),
+o AS (SELECT sqrt(greatest(2 - 2 * max(list_dot_product(a.z, b.z)), 0)) AS distance FROM u a, u b WHERE a.id % 2 = 0 AND b.id % 2 = 0 AND a.label = 0 AND b.label = 0 AND a.id <> b.id GROUP BY a.id),
+cal AS (SELECT quantile_cont(distance, 0.5) AS p50, quantile_cont(distance, 0.995) AS p995 FROM o), sc AS (SELECT q_id, least(greatest((distance - p50) / (p995 - p50), 0), 1) AS score FROM d, cal)"""
+
+
+@query("patch_anomaly", f"WITH {EMB}, {PATCH} SELECT q_id, round(score, 5) AS score FROM sc")
+def patch_anomaly(spark, sf):
+    scores = localize.anomaly(asked(spark, sf), references(spark, sf).where("label = 0"), "embedding")
+    return scores.withColumn("score", F.round("score", 5))
+
+
+@query("image_score", f"WITH {EMB}, {PATCH}, r AS (SELECT q_id // 40 AS image, score, row_number() OVER (PARTITION BY q_id // 40 ORDER BY score DESC, q_id) AS r, count(*) OVER (PARTITION BY q_id // 40) AS n FROM sc) SELECT image, round(avg(score), 5) AS score FROM r WHERE r <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) GROUP BY 1")
+def image_score(spark, sf):
+    scores = localize.anomaly(asked(spark, sf), references(spark, sf).where("label = 0"), "embedding").withColumn("image", F.floor(F.col("q_id") / 40))
+    return localize.image_score(scores, "image", 0.1).withColumn("score", F.round("score", 5))
