@@ -2,9 +2,13 @@
 
 A vector's halves are quantised separately; the pair of centroids is its cell. A query visits cells
 by the sum of its two squared distances, from a heap, until the visited cells hold TARGET entries.
-Cells that share the first centroid form a bin, a bin is cut into parts of PART_ROWS entries by the
-hash of the vector, and every vector is sent once to each part of the bins it visits, so a task sees
-the entries of one part and the queries that visit it, whatever the skew.
+Cells that share the first centroid form a bin, and every vector is sent once to each bin it visits.
+
+A hot bin (more than PART_ROWS entries by the sample) is cut into leaves by a codebook of its own over
+whole vectors, and a query that comes to one of its cells visits the nearest leaves first, until
+TARGET entries are held: a cell with a third of all rows does not cost the square of its rows. A leaf
+that still holds more than PART_ROWS entries is cut by the hash of the vector into parts of entries
+and chunks of queries, so what a task sees stays bounded.
 
 Codebooks are fitted on SAMPLE_ROWS vectors at most; every vector is indexed.
 """
@@ -31,11 +35,15 @@ TARGET = 8192
 CELL_ROWS = 200
 MOST_CENTROIDS = 1024
 PART_ROWS = 32768
+#: Entries of a leaf of a hot bin, about; a leaf is fitted on at least LEAF_SAMPLE vectors.
+LEAF_ROWS = 4096
+LEAF_SAMPLE = 4
 #: Of equal vectors at most this many ids, the smallest, are kept as entries of a part.
 SAME = 6
 
-SENT = "bin int, part int, entry boolean, cells array<int>, ids array<long>, key long, payload binary"
-_SENT_ARROW = pa.schema([("bin", pa.int32()), ("part", pa.int32()), ("entry", pa.bool_()), ("cells", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("key", pa.int64()), ("payload", pa.binary())])
+SENT = "bin int, leaf int, part int, chunk int, entry boolean, asks boolean, cells array<int>, ids array<long>, payload binary"
+_SENT_ARROW = pa.schema([*((c, pa.int32()) for c in ("bin", "leaf", "part", "chunk")), ("entry", pa.bool_()), ("asks", pa.bool_()), ("cells", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("payload", pa.binary())])
+TASK = ("bin", "leaf", "part", "chunk")
 
 
 def usable_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -104,30 +112,43 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
 
 @dataclass
 class MultiIndex:
+    """Half codebooks, leaf codebooks of hot bins, and entries per (first, second, leaf)."""
+
     first: np.ndarray
     second: np.ndarray
-    sizes: dict[tuple[int, int], int]
+    leaves: dict[int, np.ndarray]
+    sizes: dict[tuple[int, int, int], int]
 
     def __post_init__(self) -> None:
-        self.seconds: dict[int, np.ndarray] = {}
-        per: dict[int, list[int]] = {}
-        for a, b in self.sizes:
-            per.setdefault(a, []).append(b)
+        per: dict[int, set[int]] = {}
+        whole: dict[tuple[int, int], int] = {}
+        for (a, b, leaf), n in self.sizes.items():
+            per.setdefault(a, set()).add(b)
+            whole[a, leaf] = whole.get((a, leaf), 0) + n
         self.seconds = {a: np.array(sorted(bs)) for a, bs in per.items()}
-        self.parts = {a: max(1, math.ceil(sum(self.sizes[a, b] for b in bs) / PART_ROWS)) for a, bs in per.items()}
+        self.parts = {k: math.ceil(n / PART_ROWS) for k, n in whole.items()}
+
+    def leaf_of(self, x: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=np.int64)
+        for a, c in self.leaves.items():
+            own = np.flatnonzero(bins == a)
+            if len(own):
+                out[own] = (np.einsum("ij,ij->i", c, c)[None] - 2 * x[own] @ c.T).argmin(axis=1)
+        return out
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = DIMENSIONS // 2
         one = [np.einsum("ij,ij->i", p, p)[:, None] + np.einsum("ij,ij->i", c, c)[None] - 2 * p @ c.T for p, c in ((x[:, :h], self.first), (x[:, h:], self.second))]
         return np.maximum(one[0], 0), np.maximum(one[1], 0)
 
-    def visited(self, d1: np.ndarray, d2: np.ndarray, target: int) -> dict[int, list[int]]:
-        """Cells by summed distance until they hold `target` entries: first centroid -> second ones."""
+    def visited(self, x: np.ndarray, d1: np.ndarray, d2: np.ndarray, target: int) -> dict[tuple[int, int], list[int]]:
+        """Cells by summed distance until they hold `target` entries: (first centroid, leaf) -> second ones."""
         order = [a for a in np.argsort(d1, kind="stable").tolist() if a in self.seconds]
         least = float(d2.min())
         heap: list[tuple[float, int, int]] = []
         rows: dict[int, list[int]] = {}
-        out: dict[int, list[int]] = {}
+        nearest: dict[int, list[int]] = {}
+        out: dict[tuple[int, int], list[int]] = {}
         opened, held = 0, 0
         while held < target:
             while opened < len(order) and (not heap or d1[order[opened]] + least <= heap[0][0]):
@@ -140,8 +161,13 @@ class MultiIndex:
                 break
             _, a, i = heapq.heappop(heap)
             b = rows[a][i]
-            out.setdefault(a, []).append(b)
-            held += self.sizes[a, b]
+            if a in self.leaves and a not in nearest:
+                c = self.leaves[a]
+                nearest[a] = np.argsort(np.einsum("ij,ij->i", c, c) - 2 * c @ x, kind="stable").tolist()
+            for leaf in nearest.get(a, (0,)):
+                if held < target and (n := self.sizes.get((a, b, leaf))):
+                    out.setdefault((a, leaf), []).append(b)
+                    held += n
             if i + 1 < len(rows[a]):
                 heapq.heappush(heap, (float(d1[a] + d2[rows[a][i + 1]]), a, i + 1))
         return out
@@ -171,25 +197,35 @@ def build_index(spark: SparkSession, vectors: DataFrame) -> MultiIndex:
         sample = np.zeros((1, DIMENSIONS), np.float32)
     k = 1 << min(int(math.log2(MOST_CENTROIDS)), max(0, round(math.log2(math.sqrt(max(rows, 1) / CELL_ROWS)))))
     h = DIMENSIONS // 2
-    index = MultiIndex(kmeans(sample[:, :h], k, seed=1), kmeans(sample[:, h:], k, seed=2), {})
-    books = spark.sparkContext.broadcast((index.first, index.second))  # at most 2 x MOST_CENTROIDS half vectors
+    first, second = kmeans(sample[:, :h], k, seed=1), kmeans(sample[:, h:], k, seed=2)
+    bare = MultiIndex(first, second, {}, {})
+    home = bare.distances(sample)[0].argmin(axis=1)
+    for a, n in enumerate(np.bincount(home, minlength=k).tolist()):
+        share = n / len(sample) * rows
+        m = min(math.ceil(share / LEAF_ROWS), n // LEAF_SAMPLE)
+        if share > PART_ROWS and m > 1:
+            bare.leaves[a] = kmeans(sample[home == a], m, seed=3)
+    books = spark.sparkContext.broadcast(bare)  # at most 2 x MOST_CENTROIDS half vectors and SAMPLE_ROWS / LEAF_SAMPLE leaves
 
     def count(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        d1, d2 = MultiIndex(*books.value, {}).distances(unit(x))
-        pair, n = np.unique(d1.argmin(axis=1) * (1 << 16) + d2.argmin(axis=1), return_counts=True)
-        return pa.record_batch({"cell": pa.array(pair, pa.int64()), "n": pa.array(n, pa.int64())})
+        index, u = books.value, unit(x)
+        d1, d2 = index.distances(u)
+        a = d1.argmin(axis=1)
+        cell, n = np.unique((a << 40) + (d2.argmin(axis=1) << 20) + index.leaf_of(u, a), return_counts=True)
+        return pa.record_batch({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
     counted = vectors.mapInArrow(_reader(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    sizes = {(r.cell >> 16, r.cell & 0xFFFF): r.n for r in counted.toLocalIterator()}  # at most k x k cells
+    # at most one row per pair of centroids and leaf: a part of N / CELL_ROWS
+    sizes = {(r.cell >> 40, r.cell >> 20 & 0xFFFFF, r.cell & 0xFFFFF): r.n for r in counted.toLocalIterator()}
     books.unpersist()
-    return MultiIndex(index.first, index.second, sizes)
+    return MultiIndex(first, second, bare.leaves, sizes)
 
 
 def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int) -> DataFrame:
-    """One row per vector and visited part (schema SENT); equal vectors of a batch travel as one row.
+    """One row per vector and task that needs it (schema SENT); equal vectors of a batch travel as one row.
 
-    `cells` are the second centroids visited in the bin, `entry` marks the part that the vector is
-    an entry of, `key` hashes its bytes.
+    A task is named by the TASK columns. `cells` are the second centroids visited in the bin, the home
+    cell first; `entry` marks the tasks that the vector is an entry of, `asks` those it is a query of.
     """
     shared = spark.sparkContext.broadcast(index)
 
@@ -199,23 +235,26 @@ def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int
         groups: dict[bytes, list[int]] = {}
         for i, p in enumerate(payload):
             groups.setdefault(p, []).append(i)
-        lead = np.array([g[0] for g in groups.values()])
-        d1, d2 = index.distances(unit(x[lead]))
+        u = unit(x[np.array([g[0] for g in groups.values()])])
+        d1, d2 = index.distances(u)
         home1, home2 = d1.argmin(axis=1), d2.argmin(axis=1)
+        leaves = index.leaf_of(u, home1)
         columns: list[list] = [[] for _ in _SENT_ARROW.names]
         for r, (data, members) in enumerate(groups.items()):
-            key = xxhash.xxh64_intdigest(data) - (1 << 63)
+            key = xxhash.xxh64_intdigest(data)
             own = sorted(ids[members].tolist())
-            visits = index.visited(d1[r], d2[r], target)
-            a, b = int(home1[r]), int(home2[r])
-            if b not in visits.setdefault(a, []):
-                visits[a].append(b)
-            for bin_, cells in visits.items():
-                parts = index.parts[bin_]
-                for part in range(parts):
-                    entry = bin_ == a and part == key % parts
-                    # the home cell comes first
-                    for column, value in zip(columns, (bin_, part, entry, [b, *(c for c in cells if c != b)] if bin_ == a else cells, own, key, data)):
+            visits = index.visited(u[r], d1[r], d2[r], target)
+            home, b = (int(home1[r]), int(leaves[r])), int(home2[r])
+            visits[home] = [b, *(c for c in visits.get(home, ()) if c != b)]
+            for (bin_, leaf), cells in visits.items():
+                parts = index.parts[bin_, leaf]
+                mine = key % parts
+                # queries meet all parts in one chunk, entries meet all chunks in one part
+                needed = [(p, mine) for p in range(parts)]
+                if (bin_, leaf) == home:
+                    needed += [(mine, c) for c in range(parts) if c != mine]
+                for part, chunk in needed:
+                    for column, value in zip(columns, (bin_, leaf, part, chunk, (bin_, leaf) == home and part == mine, chunk == mine, cells, own, data)):
                         column.append(value)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SENT_ARROW.types)], schema=_SENT_ARROW)
 
@@ -224,30 +263,28 @@ def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int
 
 @dataclass
 class Part:
-    """What one task holds: distinct vectors, the ids of each, which are entries, and their cells."""
+    """What one task holds: distinct vectors, the ids of each, which are entries or ask, and their cells."""
 
     x: np.ndarray
     ids: list[list[int]]
     entry: np.ndarray
+    asks: np.ndarray
     cells: list[list[int]]
 
 
 def gather(group: pa.Table) -> Part:
-    """Rows of one part with equal vectors merged."""
-    columns = {c: group.column(c).to_pylist() for c in ("entry", "cells", "ids", "payload")}
+    """Rows of one task with equal vectors merged."""
+    columns = [group.column(c).to_pylist() for c in ("entry", "asks", "cells", "ids", "payload")]
     at: dict[bytes, int] = {}
-    ids: list[list[int]] = []
-    entry: list[bool] = []
-    cells: list[list[int]] = []
-    for e, c, i, p in zip(columns["entry"], columns["cells"], columns["ids"], columns["payload"]):
-        if p in at:
-            ids[at[p]] = sorted({*ids[at[p]], *i})
+    kept: list[list] = [[], [], [], []]
+    for entry, asks, cells, ids, payload in zip(*columns):
+        if payload in at:
+            kept[3][at[payload]] = sorted({*kept[3][at[payload]], *ids})
         else:
-            at[p] = len(ids)
-            ids.append(i)
-            entry.append(e)
-            cells.append(c)
-    return Part(unit(decode(list(at))), ids, np.array(entry, dtype=bool), cells)
+            at[payload] = len(at)
+            for column, value in zip(kept, (entry, asks, cells, ids)):
+                column.append(value)
+    return Part(unit(decode(list(at))), kept[3], np.array(kept[0], dtype=bool), np.array(kept[1], dtype=bool), kept[2])
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,18 +173,13 @@ def parser(lexicon: Lexicon):
 
     @F.pandas_udf(PARSED)
     def parse_names(names: pd.Series) -> pd.DataFrame:
-        if parse_names_state.get("lexicon") is None:
-            parse_names_state["lexicon"] = Lexicon(counts)
-        own = parse_names_state["lexicon"]
+        own = Lexicon(counts)
         seen: dict[str | None, tuple] = {}
-        rows = []
         for name in names:
             if name not in seen:
                 seen[name] = parse(name, own)
-            rows.append(seen[name])
-        return pd.DataFrame(rows, columns=["gate", "words", "raw"])
+        return pd.DataFrame([seen[name] for name in names], columns=["gate", "words", "raw"])
 
-    parse_names_state: dict[str, Lexicon] = {}
     return parse_names
 
 
