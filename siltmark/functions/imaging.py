@@ -371,7 +371,7 @@ def find_regions(images: DataFrame) -> DataFrame:
             for path, content in zip(batch.path, batch.content):
                 image = decode_png(content)
                 found = dead_regions(image) if image is not None else []
-                rows += [{"path": path, "score": dead_score(found), **r} for r in found] or [{"path": path, "score": None if image is None else 0.0}]
-            yield pd.DataFrame(rows, columns=["path", "score", "kind", "part", "light", "sides", "is_band", "box"])
+                rows += [(path, dead_score(found), *r.values()) for r in found] or [(path, None if image is None else 0.0, *[None] * 6)]
+            yield pd.DataFrame(rows, columns=["path", "score", "kind", "part", "light", "sides", "is_band", "box"], dtype=object)
 
     return images.select("path", "content").mapInPandas(run, REGIONS)

@@ -36,6 +36,14 @@ def near_hashes(df: DataFrame, h: str, radius: int) -> DataFrame:
     return close.where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 
+def unseen_hashes(new: DataFrame, seen: DataFrame, h: str, radius: int) -> DataFrame:
+    """Rows of `new` without a hash of `seen` within the radius; rows without a hash stay."""
+    ours = new.select(F.col(h).alias("a")).where(F.col(h).isNotNull()).distinct().select("a", F.explode(bands(F.col("a"), radius)).alias("key"))
+    theirs = seen.select(F.col(h).alias("b")).where(F.col(h).isNotNull()).distinct().select("b", F.explode(bands(F.col("b"), radius)).alias("key"))
+    known = ours.join(theirs, "key").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select(F.col("a").alias(h)).distinct()
+    return new.join(known, h, "left_anti")
+
+
 def smallest_labels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, label): the smallest node of each node's component, by label passing with jumps.
 

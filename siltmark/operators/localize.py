@@ -33,6 +33,13 @@ def anomaly(queries: DataFrame, bank: DataFrame, vector: str) -> DataFrame:
     return joined.select("q_id", F.least(F.greatest(scale / width, F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
+def negatives(patches: DataFrame, image: str, most: int = 200, seed: int = 0) -> DataFrame:
+    """At most `most` content patches of every image, in hash order: training negatives."""
+    order = Window.partitionBy(image).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    kept = patches.where("content").withColumn("__r", F.row_number().over(order))
+    return kept.where(F.col("__r") <= most).drop("__r")
+
+
 def image_score(scores: DataFrame, image: str, fraction: float) -> DataFrame:
     """Mean of the largest part of each image's patch scores, at least one patch."""
     ranked = scores.withColumns({"r": F.row_number().over(Window.partitionBy(image).orderBy(F.desc("score"), "q_id")), "n": F.count(F.lit(1)).over(Window.partitionBy(image))})

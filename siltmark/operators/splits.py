@@ -61,6 +61,25 @@ def grouped_stratified_split(df: DataFrame, group: str, stratum: str, position:
     return _back(df, group, placed, "split", "string")
 
 
+def deficit_assignment(groups: list[tuple[object, int]], shares: dict[str, float], seed: int) -> dict:
+    """group -> split in a seeded order, whatever the sizes: each to the split that lacks most."""
+    sizes = dict(groups)
+    order = sorted(sizes)
+    random.Random(seed).shuffle(order)
+    lacking = {split: share * sum(sizes.values()) for split, share in shares.items()}
+    placed = {}
+    for group in order:
+        split = max(lacking, key=lacking.__getitem__)
+        lacking[split] -= sizes[group]
+        placed[group] = split
+    return placed
+
+
+def grouped_deficit_fill(df: DataFrame, group: str, shares: dict[str, float], seed: int) -> DataFrame:
+    sizes = _groups(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    return _back(df, group, deficit_assignment([(r[group], r.n) for r in sizes], shares, seed), "split", "string")
+
+
 def kfold_assignment(groups: list[tuple[object, int]], folds: int, seed: int) -> dict:
     """group -> fold: the largest group to the emptiest fold, ties by a seeded shuffle."""
     sizes = dict(groups)

@@ -42,6 +42,24 @@ def rebuild(labels: DataFrame, config: Config) -> DataFrame:
     return placed.select("sample_id", "path", "name", "category", "group", "split", "form_factor", "orientation", "kind", "copies")
 
 
+def merge_pool(dataset: DataFrame, pool: DataFrame, config: Config) -> DataFrame:
+    """`dataset` with the clean pool rows whose name it does not hold, in group-atomic splits.
+
+    Groups that the dataset knows keep their split; new groups fill the splits that lack most. The
+    dataset's own rows stay as they are.
+    """
+    fresh = pool.withColumn("name", names.normalize_name(names.base_name(F.col("path")))).join(dataset.select("name"), "name", "left_anti")
+    fresh = fresh.withColumn("group", F.coalesce(F.nullif(F.trim("group"), F.lit("")), F.concat(F.lit("file:"), "name")))
+    fresh = fresh.groupBy("name", "group").agg(F.min_by(F.struct("pool_id", "path", "form_factor", "orientation"), "pool_id").alias("r")).select("name", "group", "r.*")
+    known = dataset.groupBy("group").agg(F.min("split").alias("known"))
+    joined = cut_lineage(fresh.join(known, "group", "left"))
+    share = config.split
+    placed = splits.grouped_deficit_fill(joined.where("known IS NULL"), "group", {"train": 1 - share.val_frac - share.test_frac, "val": share.val_frac, "test": share.test_frac}, share.seed)
+    rows = placed.unionByName(joined.where("known IS NOT NULL").withColumn("split", F.col("known")))
+    added = rows.select("path", "name", F.lit("clean").alias("category"), "group", "split", "form_factor", "orientation", F.lit("screenshot").alias("kind"), F.lit("pool").alias("origin"))
+    return dataset.select("path", "name", "category", "group", "split", "form_factor", "orientation", "kind", F.lit("dataset").alias("origin")).unionByName(added)
+
+
 def run(labels: DataFrame, folder: str, config: Config) -> str:
     """Rebuild and publish under the key of the configuration; returns the new path."""
     return publish(rebuild(labels, config), folder, config.key())

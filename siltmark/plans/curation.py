@@ -350,3 +350,13 @@ def label_set_union(spark, sf):
 def manifest_agreement(spark, sf):
     m = table(spark, sf, "export_manifest").select("sample_id", F.col("category_id").alias("mc"), F.col("label").alias("ml")).distinct()
     return tidy(spark, sf).join(m, "sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mc") == F.col("category_id")).alias("same_category"), F.count_if(F.col("ml") == F.col("label")).alias("same_label"))
+
+
+@query("applied_check", f"""WITH {TIDY}, n AS (SELECT sample_id, {SYNTH.format(2)} AS ops FROM t WHERE source = 'synthetic'), a AS (SELECT sample_id, i, string_split(ops, '+')[i] AS named FROM (SELECT sample_id, ops, unnest(range(1, len(string_split(ops, '+')) + 1)) AS i FROM n WHERE ops <> '')),
+b AS (SELECT DISTINCT sample_id, i, string_split(tipos_erro, '+')[i] AS applied FROM (SELECT sample_id, tipos_erro, unnest(range(1, len(string_split(tipos_erro, '+')) + 1)) AS i FROM export_manifest WHERE tipos_erro IS NOT NULL))
+SELECT CAST(i - 1 AS INTEGER) AS position, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE named = applied) AS BIGINT) AS agree FROM a JOIN b USING (sample_id, i) GROUP BY 1""")
+def applied_check(spark, sf):
+    """Operators in the file name against the manifest, position by position."""
+    named = tidy(spark, sf).where("source = 'synthetic'").select("sample_id", F.posexplode(F.split(names.synthetic_operators(F.col("name")), r"\+")).alias("position", "named"))
+    applied = table(spark, sf, "export_manifest").select("sample_id", F.posexplode(F.split("tipos_erro", r"\+")).alias("position", "applied")).distinct()
+    return named.join(applied, ["sample_id", "position"]).groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("named") == F.col("applied")).alias("agree"))

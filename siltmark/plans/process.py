@@ -202,3 +202,19 @@ def weighted_sample(spark, sf):
     from siltmark.operators.localize import weighted_sample as draw
 
     return draw(table(spark, sf, "events").select("event_id", "value"), "value", "event_id", 50).select("event_id")
+
+
+@query("merge_pool")
+def merge_pool(spark, sf):
+    """Rows and groups by origin and split after the pool has joined the rebuilt dataset."""
+    from siltmark import pipeline
+    from siltmark.config import Config
+
+    merged = pipeline.merge_pool(pipeline.rebuild(table(spark, sf, "labels"), Config()), table(spark, sf, "pool_manifest"), Config())
+    return merged.groupBy("origin", "split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group").alias("n_groups"))
+
+
+@query("unseen_hashes", "WITH a AS (SELECT DISTINCT phash FROM pool_manifest WHERE batch_no < 3) SELECT pool_id FROM pool_manifest p WHERE batch_no >= 3 AND (phash IS NULL OR NOT EXISTS (SELECT 1 FROM a WHERE bit_count(xor(a.phash, p.phash)) <= 6))")
+def unseen_hashes(spark, sf):
+    rows = table(spark, sf, "pool_manifest").select("pool_id", "batch_no", "phash")
+    return components.unseen_hashes(rows.where("batch_no >= 3"), rows.where("batch_no < 3"), "phash", 6).select("pool_id")

@@ -72,7 +72,7 @@ def test_report(spark):
 def test_patches(spark):
     rng = np.random.default_rng(1)
     bank = spark.createDataFrame([(i, (rng.normal(size=4) * 0.05 + [1, 0, 0, 0]).tolist()) for i in range(40)], "id long, v array<double>")
-    asked = spark.createDataFrame([(100, [1.0, 0, 0, 0]), (101, [0.0, 1, 0, 0])], "id long, v array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 0.0, 0.0, 0.0]), (101, [0.0, 1.0, 0.0, 0.0])], "id long, v array<double>")
     scores = {r.q_id: r.score for r in localize.anomaly(asked, bank, "v").collect()}
     assert scores[101] == 1.0 and scores[100] < 0.5
     assert localize.memory_bank(bank, 7).count() == 7
