@@ -63,6 +63,6 @@ SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.s =
 st AS (SELECT doc_id, i, s FROM g JOIN (SELECT s FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1) USING (s)), c AS (SELECT doc_id, sum(least(300, coalesce(nx - i, 300))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM st) GROUP BY 1),
 p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM st x JOIN st y ON x.s = y.s AND x.doc_id <> y.doc_id), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
 f AS (SELECT a AS doc_id, least(a, min(b)) AS first_id FROM r GROUP BY 1), o AS (SELECT a AS doc_id, count(*) AS others FROM p GROUP BY 1)
-SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS shared_chars, round(coalesce(c.n / nullif(length(text), 0)::DOUBLE, 0), 6) AS shared_part, CAST(coalesce(others, 0) AS BIGINT) AS partners, first_id
+SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS shared_chars, round(coalesce(c.n / nullif(length(text), 0)::DOUBLE, 0), 6) AS shared_part, CAST(coalesce(others, 0) AS BIGINT) AS partners, coalesce(first_id, doc_id) AS first_id
 FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN f USING (doc_id)""",
 }

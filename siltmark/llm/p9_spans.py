@@ -193,7 +193,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n_chars and shared_chars are counted; shared_part is their ratio (0 for null and empty texts);
     partners counts documents that share a span; first_id is the smallest doc_id of the set linked by
-    shared spans, null for documents that share nothing.
+    shared spans, the own one for documents that share nothing.
     """
     documents = table(spark, sf_dir, "documents")
     classes = cut_lineage(text_classes(documents))
@@ -223,5 +223,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
         shared.cast("long").alias("shared_chars"),
         F.round(F.coalesce(F.try_divide(shared.cast("double"), F.col("n").cast("double")), F.lit(0.0)), 6).alias("shared_part"),
         (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("partners"),
-        F.coalesce("first_id", F.when(copied, F.col("class_id"))).alias("first_id"),
+        F.coalesce("first_id", "class_id", "doc_id").alias("first_id"),
     )
