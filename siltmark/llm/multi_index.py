@@ -1,8 +1,8 @@
 """Inverted multi-index over vectors: two half codebooks, cells of centroid pairs, bins of cells.
 
 A vector's halves are quantised separately; the pair of centroids is its cell. A query visits cells
-by the sum of its two squared distances, from a heap, until the visited cells hold TARGET entries.
-Cells that share the first centroid form a bin, and every vector is sent once to each bin it visits.
+by the sum of its two squared distances, from a heap, until the visited cells hold TARGET different
+directions: copies and near-copies of a vector, at whatever length, count as one. Cells that share the first centroid form a bin, and every vector is sent once to each bin it visits.
 
 A hot bin (more than PART_ROWS entries by the sample) is cut into leaves by a codebook of its own over
 whole vectors, and a query that comes to one of its cells visits the nearest leaves first, until
@@ -29,7 +29,7 @@ from siltmark.session import table
 
 DIMENSIONS = 384
 SAMPLE_ROWS = 16384
-#: Entries that the visited cells of a query hold, at least.
+#: Different directions (see `directions`) that the visited cells of a query hold, at least.
 TARGET = 8192
 #: Codebooks grow with the root of the number of vectors: about N / CELL_ROWS cells.
 CELL_ROWS = 200
@@ -67,6 +67,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None]).astype(np.float32)
 
 
+def directions(u: np.ndarray) -> list[int]:
+    """A digest of each unit vector to three decimals: vectors that differ in length only share it, but for rounding."""
+    return [xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63) for r in np.round(u * 1000).astype(np.int16)]
+
+
 def encode(x: np.ndarray) -> list[bytes]:
     """Each vector as bytes: 16-bit floats where they lose nothing, else 32-bit ones."""
     with np.errstate(over="ignore"):
@@ -112,17 +117,18 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
 
 @dataclass
 class MultiIndex:
-    """Half codebooks, leaf codebooks of hot bins, and entries per (first, second, leaf)."""
+    """Half codebooks, leaf codebooks of hot bins, and per (first, second, leaf) the directions and distinct vectors."""
 
     first: np.ndarray
     second: np.ndarray
     leaves: dict[int, np.ndarray]
     sizes: dict[tuple[int, int, int], int]
+    distinct: dict[tuple[int, int, int], int]
 
     def __post_init__(self) -> None:
         per: dict[int, set[int]] = {}
         whole: dict[tuple[int, int], int] = {}
-        for (a, b, leaf), n in self.sizes.items():
+        for (a, b, leaf), n in self.distinct.items():
             per.setdefault(a, set()).add(b)
             whole[a, leaf] = whole.get((a, leaf), 0) + n
         self.seconds = {a: np.array(sorted(bs)) for a, bs in per.items()}
@@ -142,7 +148,7 @@ class MultiIndex:
         return np.maximum(one[0], 0), np.maximum(one[1], 0)
 
     def visited(self, x: np.ndarray, d1: np.ndarray, d2: np.ndarray, target: int) -> dict[tuple[int, int], list[int]]:
-        """Cells by summed distance until they hold `target` entries: (first centroid, leaf) -> second ones."""
+        """Cells by summed distance until they hold `target` directions: (first centroid, leaf) -> second ones."""
         order = [a for a in np.argsort(d1, kind="stable").tolist() if a in self.seconds]
         least = float(d2.min())
         heap: list[tuple[float, int, int]] = []
@@ -198,7 +204,7 @@ def build_index(spark: SparkSession, vectors: DataFrame) -> MultiIndex:
     k = 1 << min(int(math.log2(MOST_CENTROIDS)), max(0, round(math.log2(math.sqrt(max(rows, 1) / CELL_ROWS)))))
     h = DIMENSIONS // 2
     first, second = kmeans(sample[:, :h], k, seed=1), kmeans(sample[:, h:], k, seed=2)
-    bare = MultiIndex(first, second, {}, {})
+    bare = MultiIndex(first, second, {}, {}, {})
     home = bare.distances(sample)[0].argmin(axis=1)
     for a, n in enumerate(np.bincount(home, minlength=k).tolist()):
         share = n / len(sample) * rows
@@ -211,14 +217,18 @@ def build_index(spark: SparkSession, vectors: DataFrame) -> MultiIndex:
         index, u = books.value, unit(x)
         d1, d2 = index.distances(u)
         a = d1.argmin(axis=1)
-        cell, n = np.unique((a << 40) + (d2.argmin(axis=1) << 20) + index.leaf_of(u, a), return_counts=True)
-        return pa.record_batch({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    counted = vectors.mapInArrow(_reader(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        cell = (a << 40) + (d2.argmin(axis=1) << 20) + index.leaf_of(u, a)
+        vector = [xxhash.xxh64_intdigest(p) - (1 << 63) for p in encode(x)]
+        found = sorted(set(zip(cell.tolist(), directions(u), vector)))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["cell", "direction", "vector"])
+
+    # equal vectors, wherever they are read, become one row before anything is counted
+    different = vectors.mapInArrow(_reader(count), "cell long, direction long, vector long").distinct()
+    counted = different.groupBy("cell", "direction").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.count(F.lit(1)).alias("directions"), F.sum("n").alias("n"))
     # at most one row per pair of centroids and leaf: a part of N / CELL_ROWS
-    sizes = {(r.cell >> 40, r.cell >> 20 & 0xFFFFF, r.cell & 0xFFFFF): r.n for r in counted.toLocalIterator()}
+    cells = {(r.cell >> 40, r.cell >> 20 & 0xFFFFF, r.cell & 0xFFFFF): (r.directions, r.n) for r in counted.toLocalIterator()}
     books.unpersist()
-    return MultiIndex(first, second, bare.leaves, sizes)
+    return MultiIndex(first, second, bare.leaves, {k: v[0] for k, v in cells.items()}, {k: v[1] for k, v in cells.items()})
 
 
 def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int) -> DataFrame:
