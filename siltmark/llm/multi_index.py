@@ -273,14 +273,21 @@ def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int
 
 @dataclass
 class Part:
-    """What one task holds: distinct vectors, the ids of each, which are entries or ask, and their cells."""
+    """What one task holds: distinct vectors (as stored, and at length 1), the ids of each, which are entries or ask, and their cells."""
 
+    stored: np.ndarray
     x: np.ndarray
     ids: list[list[int]]
     entry: np.ndarray
     asks: np.ndarray
     cells: list[list[int]]
 
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """Unit vectors of some rows, in double precision from what is stored."""
+        x = self.stored[rows].astype(np.float64)
+        x /= np.abs(x).max(axis=-1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
 
 def gather(group: pa.Table) -> Part:
     """Rows of one task with equal vectors merged."""
@@ -294,7 +301,8 @@ def gather(group: pa.Table) -> Part:
             at[payload] = len(at)
             for column, value in zip(kept, (entry, asks, cells, ids)):
                 column.append(value)
-    return Part(unit(decode(list(at))), kept[3], np.array(kept[0], dtype=bool), np.array(kept[1], dtype=bool), kept[2])
+    stored = decode(list(at))
+    return Part(stored, unit(stored), kept[3], np.array(kept[0], dtype=bool), np.array(kept[1], dtype=bool), kept[2])
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
