@@ -206,7 +206,9 @@ def links_of_pair(group: pa.Table, basis: np.ndarray) -> pa.Table:
         if low == high:
             edges += [(one, i) for i in own if i != one]
     stored, side, n = list(at), np.array(side), len(at)
-    u = mi.unit(mi.decode(stored))
+    u = np.empty((n, mi.DIMENSIONS), dtype=np.float32)
+    for k in range(0, n, 8192):  # what is computed on the way takes several times the memory
+        u[k : k + 8192] = mi.unit(mi.decode(stored[k : k + 8192]))
     bound, labels = bounding(u, basis), np.arange(n)
     left, right = (np.flatnonzero(side == s) for s in (low, high))
     for r in range(0, len(left), ROWS):
