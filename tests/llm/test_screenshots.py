@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from siltmark.llm import names, p2_overlap, p3_history, p5_quota, p6_splits, records
@@ -167,6 +168,15 @@ def test_p3_planted(spark, tmp_path):
     assert {r.pool_id for r in p3_history.p3_found(spark, folder).collect()} == {21, 22, 20, 28}
 
 
+def test_p3_names_beyond_the_beam():
+    """One name in 3,000 groups gives a few crowds of equal vectors; every key is found, with its smallest id."""
+    n = 3000
+    name = {"gate": ["ticket|77|fold|1||"] * n, "words": ["home"] * n, "raw": ["home"] * n, "group_key": [f"g{i}" for i in range(n)]}
+    graphs = p3_history.build_shard(pa.table({"shard": ["labels/0"] * n, **name, "first": list(range(n))}))
+    asked = pa.table({"batch_no": pa.array([1] * n, pa.int32()), **name, "entry": list(range(n)), "own": [True] * n})
+    assert sorted((r["entry"], r["first"]) for r in p3_history._search(graphs, asked).to_pylist()) == [(i, i) for i in range(n)]
+
+
 def test_p3_covering():
     for n in (1, 2, 9, 70, 130):
         batches = list(range(0, 3 * n, 3))
@@ -216,3 +226,10 @@ def test_p2_hot_name(spark, tmp_path, copies):
     labels = [{"sample_id": i, "path": path.format("train" if i else "test"), "source": "real"} for i in range(copies)]
     folder = tables.write(spark, tmp_path, labels=labels)
     assert p2_overlap.p2_found(spark, folder).count() == copies - 1
+
+
+def test_p2_short_words_with_a_typing_error(spark):
+    """Names of equal gate and corrected words meet, however little their spellings have in common."""
+    rows = [("g", "photo", "photo", "train"), ("g", "phtoo", "photo", "val"), ("g", "tent", "tent", "val"), ("h", "phtoo", "photo", "test")]
+    found = spark.createDataFrame(rows, "gate string, raw string, words string, split string")
+    assert [(r.gate, r.train_raw, r.eval_raw) for r in p2_overlap.name_overlaps(found).collect()] == [("g", "photo", "phtoo")]
