@@ -3,7 +3,8 @@
 A name is shingled into letter triples of its words, each tied to the gate (numbers, hash, form
 factor, shot and competitor mark, which are never mistyped): names that differ in the gate share no
 shingle. Minwise signatures are banded, buckets join evaluation names with training names only, and
-candidates are verified by exact Jaccard similarity. Rows are collapsed to distinct names before
+candidates are verified by exact Jaccard similarity. Names whose corrected words are the same share one
+more bucket and need no similarity: one typing error in a short word can leave one triple. Rows are collapsed to distinct names before
 anything is shuffled by bucket, so hot names count once; they are expanded again at the end.
 """
 
@@ -70,11 +71,11 @@ def name_overlaps(found: DataFrame) -> DataFrame:
     """
     usable = found.where(F.col("gate").isNotNull() & F.col("split").isin("train", *EVAL_SPLITS))
     named = usable.groupBy("gate", "raw", "words").agg(F.max((F.col("split") == "train").cast("int")).alias("in_train"), F.max((F.col("split") != "train").cast("int")).alias("in_eval"))
-    banded = cut_lineage(named.withColumn("key", F.explode(band_keys("gate", "raw"))))
+    banded = cut_lineage(named.withColumn("key", F.explode(F.concat(band_keys("gate", "raw"), F.array(F.xxhash64("gate", "words"))))))
     left = banded.where("in_train = 1").select("key", F.struct(F.col("gate").alias("g"), F.col("raw").alias("r"), F.col("words").alias("w")).alias("t"))
     right = banded.where("in_eval = 1").select("key", F.struct(F.col("gate").alias("g"), F.col("raw").alias("r"), F.col("words").alias("w")).alias("e"))
     pairs = left.join(right, "key").where(F.col("t.g") == F.col("e.g")).select("t", "e").distinct()
-    scored = pairs.withColumn("similarity", jaccard("t.g", "t.r", "e.g", "e.r")).where(F.col("similarity") >= SIMILARITY)
+    scored = pairs.withColumn("similarity", jaccard("t.g", "t.r", "e.g", "e.r")).where((F.col("similarity") >= SIMILARITY) | (F.col("t.w") == F.col("e.w")))
     return scored.select(F.col("t.g").alias("gate"), F.col("t.r").alias("train_raw"), F.col("t.w").alias("train_words"), F.col("e.r").alias("eval_raw"), F.col("e.w").alias("eval_words"), "similarity")
 
 
