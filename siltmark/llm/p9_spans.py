@@ -1,13 +1,15 @@
 """Problem 9: long exact spans shared between records.
 
-Texts are cut into anchored passages of PASSAGE characters: of every SPAN - PASSAGE + 1 successive
-starts the one with the smallest hash. Where two texts share SPAN characters they share at least one
-such passage, so nothing is lost. Passages get minwise signatures over their word shingles; equal and
-nearly equal ones collide in a band, colliding passages give candidate pairs of texts, and the texts
-of a pair are compared character by character. Exact copies are collapsed before and expanded after.
+Texts are cut into anchored passages of PASSAGE characters: a passage is anchored if its hash is the
+smallest of some SPAN - PASSAGE + 1 successive starts. Where two texts share SPAN characters they share
+at least one such passage, so nothing is lost. Passages get minwise signatures over the shingles of
+their whole words; equal passages always collide in a band, nearly equal ones often do. Colliding
+passages make their texts candidates, and the SPAN-character spans around them, compared by 128 bits,
+are what texts really share.
 
-Buckets with more than HOT texts (stock passages) are split: their texts are compared by the hashes
-of all SPAN-character spans around the passage, which only true results share.
+No pair is formed to find out what is shared: exact copies are collapsed to one text, of spans that
+lie in the same texts one stays, and texts that hold the same spans form a class. Pairs are pairs of
+classes. Sets are components over the spans.
 
 Null texts and texts shorter than SPAN share nothing.
 """
@@ -18,121 +20,195 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from siltmark.llm.components import random_mate_components
-from siltmark.llm.p2_overlap import minhash
 from siltmark.session import cut_lineage, spread, table
 
 SPAN = 300
 PASSAGE = 240
+WINDOW = SPAN - PASSAGE + 1
 #: Two bands of 4: equal passages always collide; a near one of similarity 0.8 does with probability 0.65.
 BANDS, ROWS = 2, 4
 SHINGLE = 5
-HOT = 100
+#: Characters that a task works on at a time; longer texts come in overlapping pieces.
+PIECE = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def gram_hashes(chars: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every run of k characters, by prefix sums of a polynomial."""
-    n = len(chars)
-    if n < k:
-        return np.empty(0, dtype=np.uint64)
-    steps = np.full(n, _BASE, dtype=np.uint64)
-    steps[0] = 1
-    powers = np.multiply.accumulate(steps)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    back = np.full(n - k + 1, _INVERSE, dtype=np.uint64)
-    back[0] = 1
-    h = (sums[k:] - sums[: n - k + 1]) * np.multiply.accumulate(back)
-    h ^= h >> np.uint64(31)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the (first) minimum of some run of `window` successive hashes."""
-    if len(hashes) == 0:
+class Sums:
+    """Prefix sums of a polynomial over characters: the hash of any stretch in two lookups."""
+
+    def __init__(self, chars: np.ndarray, base: int = _BASES[0]):
+        n = len(chars)
+        self.back = self._powers(pow(base, -1, 1 << 64), n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self._powers(base, n), out=self.sums[1:])
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[:1] = 1
+        return np.multiply.accumulate(steps)
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[start]) * self.back[start])
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of every run of k characters."""
+        n = len(self.sums) - k
+        return _mix((self.sums[k:] - self.sums[:n]) * self.back[:n]) if n > 0 else np.empty(0, dtype=np.uint64)
+
+
+def sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) over every run of `width` values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        a, done = pick(a[: len(a) - done], a[done:]), 2 * done
+    return pick(a[: len(a) - (width - done)], a[width - done :]) if done < width else a
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of about PIECE characters: (characters, and of each piece: text, offset in it, first character).
+
+    Every run of SPAN characters of a text lies whole in one of its pieces.
+    """
+    held, owner, offset, size = [], [], [], 0
+
+    def packed():
+        ends = np.cumsum([len(c) for c in held])
+        return np.concatenate(held), np.array(owner), np.array(offset), np.r_[0, ends[:-1]]
+
+    for k, text in enumerate(texts):
+        chars = characters(text)
+        for at in range(0, max(1, len(chars) - SPAN + 1), PIECE):
+            part = chars[at : at + PIECE + SPAN - 1]
+            held.append(part), owner.append(k), offset.append(at)
+            size += len(part)
+            if size >= PIECE:
+                yield packed()
+                held, owner, offset, size = [], [], [], 0
+    if held:
+        yield packed()
+
+
+def _starts(n: int, first: np.ndarray, k: int) -> np.ndarray:
+    """Which of the n characters start a run of k that stays in one piece."""
+    ends = np.r_[first[1:], n]
+    open_ = np.zeros(n + 1, dtype=np.int64)
+    lengths = np.maximum(ends - first - k + 1, 0)
+    some = lengths > 0
+    open_[first[some]] += 1
+    np.add.at(open_, first[some] + lengths[some], -1)
+    return np.cumsum(open_)[:n] > 0
+
+
+def anchored(sums: Sums, first: np.ndarray) -> np.ndarray:
+    """Positions whose passage has the smallest hash of some WINDOW successive passages of a piece."""
+    n = len(sums.sums) - 1
+    if n < SPAN:
         return np.empty(0, dtype=np.int64)
-    if len(hashes) <= window:
-        return np.array([int(hashes.argmin())])
-    found = []
-    for start in range(0, len(hashes) - window + 1, 1 << 16):
-        part = hashes[start : start + (1 << 16) + window - 1]
-        view = np.lib.stride_tricks.sliding_window_view(part, window)
-        found.append(np.unique(view.argmin(axis=1) + np.arange(len(view))) + start)
-    at = np.unique(np.concatenate(found))
-    _, first = np.unique(hashes[at], return_index=True)  # equal passages of one text count once
-    return at[np.sort(first)]
+    h = sums.grams(PASSAGE)
+    h[~_starts(n, first, PASSAGE)[: len(h)]] = _LAST
+    least = sliding(h, WINDOW, np.minimum)
+    least[~_starts(n, first, SPAN)[: len(least)]] = 0
+    none = np.zeros(WINDOW - 1, dtype=np.uint64)
+    most = sliding(np.concatenate([none, least, none]), WINDOW, np.maximum)
+    return np.flatnonzero((most == h) & (most > 0))
+
+
+def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(9)
+    return rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def passage_keys(passage: str, a: np.ndarray, b: np.ndarray) -> list[int]:
-    words = passage.split()
-    shingles = {xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))}
-    signature = minhash(shingles, a, b).reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(signature[k].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+def band_keys(chars: np.ndarray, sums: Sums, at: np.ndarray) -> np.ndarray:
+    """(passage, band) keys: minwise hashes of the shingles of whole words inside each passage.
+
+    Passages of fewer than SHINGLE whole words have the hash of all their characters.
+    """
+    blank = (chars <= 32) | (chars == 0x85) | (chars == 0xA0) | ((chars >= 0x2000) & (chars <= 0x200A)) | (chars == 0x2028) | (chars == 0x2029) | (chars == 0x3000)
+    edge = np.diff(np.r_[True, blank, True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    keys = np.repeat(sums.between(at, at + PASSAGE)[:, None], BANDS, axis=1) + np.arange(BANDS, dtype=np.uint64)
+    # words with a blank on either side inside the passage
+    low, high = np.searchsorted(starts, at + 1), np.searchsorted(ends, at + PASSAGE - 1, side="right")
+    some = np.flatnonzero(high - low >= SHINGLE)
+    if len(some):
+        word = sums.between(starts, ends)
+        shingle = np.zeros(len(word) - SHINGLE + 1, dtype=np.uint64)
+        for k in range(SHINGLE):
+            shingle = shingle * np.uint64(_BASES[1]) + word[k : len(word) - SHINGLE + 1 + k]
+        bounds = np.stack([low[some], high[some] - SHINGLE + 1], axis=1).ravel()
+        signature = np.empty((len(some), BANDS * ROWS), dtype=np.uint64)
+        for r, (a, b) in enumerate(zip(*_coefficients())):
+            signature[:, r] = np.minimum.reduceat(np.r_[_mix(shingle * a + b), _LAST], bounds)[::2]
+        for k in range(BANDS):
+            key = np.full(len(some), k + 1, dtype=np.uint64)
+            for r in range(k * ROWS, (k + 1) * ROWS):
+                key = _mix(key * np.uint64(_BASES[1]) + signature[:, r])
+            keys[some, k] = key
+    return keys
+
+
+def passages(texts: list[str]) -> Iterator[tuple]:
+    """Per block: (characters, (text, offset, first character) of the pieces, sums, piece of each anchor, anchors, keys)."""
+    for chars, owner, offset, first in pieces(texts):
+        sums = Sums(chars)
+        at = anchored(sums, first)
+        piece = np.searchsorted(first, at, side="right") - 1
+        yield chars, (owner, offset, first), sums, piece, at, band_keys(chars, sums, at)
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rng = np.random.default_rng(9)
-    a = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
     for batch in batches:
-        keys, ids, at = [], [], []
-        for doc, text in zip(batch.doc_id, batch.text):
-            seen = set()
-            for p in anchors(gram_hashes(characters(text), PASSAGE), SPAN - PASSAGE + 1).tolist():
-                for key in passage_keys(text[p : p + PASSAGE], a, b):
-                    if key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        ids.append(doc)
-                        at.append(p)
-        yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "doc_id": pd.Series(ids, dtype="int64"), "at": pd.Series(at, dtype="int32")})
-
-
-def _spans_around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of all SPAN-character spans of the texts in hot buckets."""
+        ids = batch.doc_id.to_numpy()
+        for _, (owner, _, _), _, piece, _, keys in passages(batch.text.tolist()):
+            if len(piece):
+                flat = pd.DataFrame({"key": keys.astype(np.int64).ravel(), "doc_id": np.repeat(ids[owner[piece]], BANDS)})
+                yield flat.drop_duplicates()
+
+
+SPANS = "key long, again long, doc_id long, at int, n int"
+
+
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans around the passages whose keys are shared; n successive equal spans (of one repeated character) are one row."""
     for batch in batches:
-        for doc, text in zip(batch.doc_id, batch.text):
-            keys = np.unique(gram_hashes(characters(text), SPAN)).astype(np.int64)
-            yield pd.DataFrame({"key": keys, "doc_id": np.full(len(keys), doc, dtype=np.int64)})
-
-
-RUNS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("a", "b", "n")]))
-
-
-@F.pandas_udf(RUNS)
-def shared_runs(texts_a: pd.Series, texts_b: pd.Series) -> pd.Series:
-    """Maximal runs of at least SPAN characters that stand in both texts: start in a, in b, length."""
-    out = []
-    for x, y in zip(texts_a, texts_b):
-        ca, cb = characters(x), characters(y)
-        ha, hb = gram_hashes(ca, SPAN), gram_hashes(cb, SPAN)
-        runs = []
-        for side, (h, g, own, other) in enumerate(((ha, hb, ca, cb), (hb, ha, cb, ca))):
-            order = np.argsort(g, kind="stable")
-            slot = np.searchsorted(g[order], h)
-            slot[slot == len(g)] = 0
-            where = order[slot] if len(g) else slot
-            hit = np.flatnonzero((g[where] == h) if len(g) else np.zeros(len(h), dtype=bool))
-            for group in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else ():
-                p, q = int(group[0]), int(where[group[0]])
-                if not np.array_equal(own[p : p + SPAN], other[q : q + SPAN]):
-                    continue
-                n = int(group[-1]) - p + SPAN
-                runs.append({"a": p, "b": -1, "n": n} if side == 0 else {"a": -1, "b": p, "n": n})
-        out.append(runs)
-    return pd.Series(out)
+        ids, wanted = batch.doc_id.to_numpy(), [np.sort(np.asarray(k, dtype=np.int64)) for k in batch["keys"]]
+        for chars, (owner, offset, first), sums, piece, at, keys in passages(batch.text.tolist()):
+            if not len(at):
+                continue
+            found = np.zeros(len(at), dtype=bool)
+            for k in np.unique(piece).tolist():
+                own = np.flatnonzero(piece == k)
+                found[own] = np.isin(keys[own].astype(np.int64), wanted[owner[k]]).any(axis=1)
+            around = np.zeros(len(chars) + 1, dtype=np.int64)
+            np.add.at(around, np.maximum(at[found] - WINDOW + 1, 0), 1)
+            np.add.at(around, at[found] + 1, -1)
+            spans = np.flatnonzero((np.cumsum(around)[: len(chars)] > 0) & _starts(len(chars), first, SPAN))
+            if not len(spans):
+                continue
+            key = sums.between(spans, spans + SPAN).astype(np.int64)
+            again = Sums(chars, _BASES[1]).between(spans, spans + SPAN).astype(np.int64)
+            of = np.searchsorted(first, spans, side="right") - 1
+            new = np.r_[True, (np.diff(spans) != 1) | (np.diff(key) != 0) | (np.diff(of) != 0)]
+            heads = np.flatnonzero(new)
+            n = np.diff(np.r_[heads, len(spans)])
+            yield pd.DataFrame({"key": key[heads], "again": again[heads], "doc_id": ids[owner[of[heads]]], "at": (spans[heads] - first[of[heads]] + offset[of[heads]]).astype(np.int32), "n": n.astype(np.int32)})
 
 
 def text_classes(documents: DataFrame) -> DataFrame:
@@ -142,86 +218,98 @@ def text_classes(documents: DataFrame) -> DataFrame:
     return hashed.join(first, "h").select("doc_id", "class_id")
 
 
-def shared_pairs(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, runs) for pairs of different texts, a < b smallest doc_ids of their classes."""
+def shared_spans(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """Checkpointed (key, again, doc_id, at, n) of the spans that different texts share; doc_id is the smallest of its class."""
     texts = documents.select("doc_id", "text").where(F.length("text") >= SPAN)
     texts = texts.join(classes.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-    prints = cut_lineage(spread(texts).mapInPandas(_fingerprints, "key long, doc_id long, at int").select("key", "doc_id"))
-    sizes = prints.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    kept = cut_lineage(prints.join(sizes, "key"))
-    hot_docs = kept.where(F.col("m") > HOT).select("doc_id").distinct()
-    spans = texts.join(hot_docs, "doc_id", "left_semi").mapInPandas(_spans_around, "key long, doc_id long")
-    buckets = kept.where(F.col("m") <= HOT).select("key", "doc_id").unionByName(spans)
-    pairs = buckets.select("key", F.col("doc_id").alias("a")).join(buckets.select("key", F.col("doc_id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", shared_runs("text_a", "text_b").alias("runs"))
-    return compared.where(F.size("runs") > 0)
+    prints = cut_lineage(spread(texts).mapInPandas(_fingerprints, "key long, doc_id long"))
+    common = prints.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    wanted = prints.join(common, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # bounded by the text's length
+    spans = cut_lineage(texts.join(wanted, "doc_id").mapInPandas(_spans, SPANS))
+    shared = spans.groupBy("key", "again").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "again")
+    return cut_lineage(spans.join(shared, ["key", "again"], "left_semi"))
+
+
+def _same(df: DataFrame, of: str, by: list[str]) -> DataFrame:
+    """`of` with three numbers that tell the set of its `by` rows, without collecting the set."""
+    h = F.xxhash64(*by)
+    return df.groupBy(of).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.shiftright(h, 20)).alias("__s"), F.bit_xor(h).alias("__x"))
+
+
+def span_classes(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, span_class), (key, span_class)), both checkpointed, of texts that share spans.
+
+    Texts with the same shared spans are one class, named by its smallest doc_id. Of the spans that lie
+    in the same texts one key stays.
+    """
+    held = spans.select(F.xxhash64("key", "again").alias("key"), "doc_id").distinct()
+    tell = ["__n", "__s", "__x"]
+    kept = _same(held, "key", ["doc_id"]).groupBy(*tell).agg(F.min("key").alias("key")).select("key")
+    held = cut_lineage(held.join(kept, "key"))
+    told = _same(held, "doc_id", ["key"])
+    first = told.groupBy(*tell).agg(F.min("doc_id").alias("span_class"))
+    members = cut_lineage(told.join(first, tell).select("doc_id", "span_class"))
+    heads = members.where("doc_id = span_class").select("doc_id")
+    return members, cut_lineage(held.join(heads, "doc_id", "left_semi").select("key", F.col("doc_id").alias("span_class")))
+
+
+def class_pairs(held: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of classes that share a span: the links themselves, one row for any number of spans."""
+    left, right = held.select("key", F.col("span_class").alias("a")), held.select("key", F.col("span_class").alias("b"))
+    return left.join(right, "key").where("a < b").select("a", "b").distinct()
+
+
+def _members(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, class_id, group) of all documents of at least SPAN characters; texts that share no span are groups of their copies."""
+    return classes.join(found.select(F.col("doc_id").alias("class_id"), "span_class"), "class_id", "left").select("doc_id", "class_id", F.coalesce("span_class", "class_id").alias("group"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share at least SPAN successive characters exactly as stored."""
     documents = table(spark, sf_dir, "documents")
     classes = cut_lineage(text_classes(documents))
-    pairs = cut_lineage(shared_pairs(documents, classes).select("a", "b"))
-    member = classes.select(F.col("class_id"), "doc_id")
-    across = pairs.join(member.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x")), "a").join(member.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y")), "b")
-    within = member.select("class_id", F.col("doc_id").alias("x")).join(member.select("class_id", F.col("doc_id").alias("y")), "class_id").where("x < y")
+    found, held = span_classes(shared_spans(documents, classes))
+    member = _members(classes, found).select("group", "doc_id")
+    pairs = class_pairs(held)
+    across = pairs.join(member.select(F.col("group").alias("a"), F.col("doc_id").alias("x")), "a").join(member.select(F.col("group").alias("b"), F.col("doc_id").alias("y")), "b")
+    within = member.select("group", F.col("doc_id").alias("x")).join(member.select("group", F.col("doc_id").alias("y")), "group").where("x < y")
     every = across.select("x", "y").unionByName(within.select("x", "y"))
     return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union of the intervals of each document, within a batch."""
-    for batch in batches:
-        rows = []
-        for doc, part in batch.groupby("doc_id", sort=False):
-            start = end = None
-            for p, q in sorted(zip(part.p, part.q)):
-                if end is None or p > end:
-                    if end is not None:
-                        rows.append((doc, start, end))
-                    start, end = p, q
-                else:
-                    end = max(end, q)
-            rows.append((doc, start, end))
-        yield pd.DataFrame(rows, columns=["doc_id", "p", "q"]).astype({"doc_id": "int64", "p": "int32", "q": "int32"})
-
-
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the part of it that other documents share, and its set.
 
     n_chars and shared_chars are counted; shared_part is their ratio (0 for null and empty texts);
     partners counts documents that share a span; first_id is the smallest doc_id of the set linked by
-    shared spans, the own one for documents that share nothing.
+    shared spans, the own one for documents that share nothing. No pair of documents is formed.
     """
     documents = table(spark, sf_dir, "documents")
     classes = cut_lineage(text_classes(documents))
-    pairs = cut_lineage(shared_pairs(documents, classes))
-    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
-    run = F.explode("runs").alias("r")
-    intervals = pairs.select(F.col("a").alias("doc_id"), run).where("r.a >= 0").select("doc_id", F.col("r.a").alias("p"), (F.col("r.a") + F.col("r.n")).alias("q"))
-    intervals = intervals.unionByName(pairs.select(F.col("b").alias("doc_id"), run).where("r.b >= 0").select("doc_id", F.col("r.b").alias("p"), (F.col("r.b") + F.col("r.n")).alias("q")))
-    schema = "doc_id long, p int, q int"
-    # merged per batch on either side of the shuffle: what reaches a group is bounded by the text's length
-    merged = intervals.mapInPandas(_merge, schema).repartition("doc_id").mapInPandas(_merge, schema)
-    covered = merged.groupBy("doc_id").applyInPandas(lambda g: next(_merge(iter([g]))), schema).groupBy(F.col("doc_id").alias("class_id")).agg(F.sum(F.col("q") - F.col("p")).alias("covered"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select(F.col("e.x").alias("class_id"), F.col("e.y").alias("other"))
-    partners = both.join(sizes.select(F.col("class_id").alias("other"), "copies"), "other").groupBy("class_id").agg(F.sum("copies").alias("others"))
-    roots = random_mate_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    firsts = roots.groupBy("root").agg(F.min("node").alias("first_id"))
-    sets = roots.join(firsts, "root").select(F.col("node").alias("class_id"), "first_id")
-    per_class = sizes.join(covered, "class_id", "left").join(partners, "class_id", "left").join(sets, "class_id", "left")
-    info = classes.join(per_class, "class_id")
-    length = F.coalesce(F.length("text"), F.lit(0))
-    copied = F.coalesce("copies", F.lit(1)) > 1
-    shared = F.when(copied, F.col("n")).otherwise(F.coalesce(F.col("covered"), F.lit(0)))
-    out = documents.select("doc_id", length.alias("n")).join(info, "doc_id", "left")
+    spans = shared_spans(documents, classes)
+    found, held = span_classes(spans)
+    member = cut_lineage(_members(classes, found))
+    following = Window.partitionBy("doc_id").orderBy("at")  # one text's spans
+    ends = spans.select("doc_id", "at", (F.col("at") + F.col("n") + SPAN - 1).alias("end"), F.lead("at").over(following).alias("next"))
+    covered = ends.groupBy(F.col("doc_id").alias("class_id")).agg(F.sum(F.least("end", F.coalesce("next", "end")) - F.col("at")).alias("covered"))
+    copies = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = member.groupBy("group").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("least"))
+    pairs = class_pairs(held)
+    both = pairs.select(F.col("a").alias("group"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("group"), F.col("a").alias("other")))
+    others = both.join(sizes.select(F.col("group").alias("other"), F.col("held").alias("there")), "other").groupBy("group").agg(F.sum("there").alias("others"))
+    star = held.groupBy("key").agg(F.min("span_class").alias("v"))
+    roots = random_mate_components(held.join(star, "key").select(F.col("span_class").alias("u"), "v").where("u <> v"))
+    firsts = roots.join(sizes.select(F.col("group").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("first_id"))
+    sets = roots.join(firsts, "root").select(F.col("node").alias("group"), "first_id")
+    per_group = sizes.join(others, "group", "left").join(sets, "group", "left").select("group", (F.col("held") + F.coalesce("others", F.lit(0)) - 1).alias("partners"), F.coalesce("first_id", "least").alias("first_id"))
+    info = member.join(copies, "class_id").join(covered, "class_id", "left").join(per_group, "group")
+    out = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(info, "doc_id", "left")
+    shared = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce(F.col("covered"), F.lit(0)))
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         shared.cast("long").alias("shared_chars"),
         F.round(F.coalesce(F.try_divide(shared.cast("double"), F.col("n").cast("double")), F.lit(0.0)), 6).alias("shared_part"),
-        (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("partners"),
-        F.coalesce("first_id", "class_id", "doc_id").alias("first_id"),
+        F.coalesce("partners", F.lit(0)).cast("long").alias("partners"),
+        F.coalesce("first_id", "doc_id").alias("first_id"),
     )

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from siltmark.llm import p7_leaks, p8_mix, p9_spans, tokens
@@ -126,8 +127,32 @@ def test_p9_parts(spark, spans):
 
 def test_p9_hashes():
     chars = p9_spans.characters("abcabcabcX")
-    h = p9_spans.gram_hashes(chars, 3)
-    assert h[0] == h[3] == h[6] and len(set(h.tolist())) == 4 and len(p9_spans.gram_hashes(chars, 11)) == 0
+    sums = p9_spans.Sums(chars)
+    h = sums.grams(3)
+    assert h[0] == h[3] == h[6] and len(set(h.tolist())) == 4 and len(sums.grams(11)) == 0
+    assert sums.between(np.array([3]), np.array([6]))[0] == h[3]
+
+
+def test_p9_anchors():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab c") for _ in range(n)) for n in (299, 300, 301, 900, 2000)] + ["x" * 400]
+    found = [set() for _ in texts]
+    for _, (owner, offset, first), _, piece, at, _ in p9_spans.passages(texts):
+        for p, i in zip(piece.tolist(), at.tolist()):
+            found[owner[p]].add(i - first[p] + offset[p])
+    for text, own in zip(texts, found):
+        h = p9_spans.Sums(p9_spans.characters(text)).grams(p9_spans.PASSAGE)
+        windows = [h[j : j + p9_spans.WINDOW] for j in range(len(text) - p9_spans.SPAN + 1)]
+        assert own == {j + k for j, w in enumerate(windows) for k in range(len(w)) if w[k] == w.min()}
+
+
+def test_p9_pieces(monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdef ") for _ in range(3000))
+    key = lambda: {(i - first[p] + offset[p], *k) for _, (_, offset, first), _, piece, at, keys in p9_spans.passages([text]) for p, i, k in zip(piece.tolist(), at.tolist(), keys.tolist())}
+    whole = key()
+    monkeypatch.setattr(p9_spans, "PIECE", 700)
+    assert key() == whole
 
 
 def test_p8_small_data(spark, sf):
