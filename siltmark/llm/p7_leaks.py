@@ -1,92 +1,128 @@
 """Problem 7: evaluation passages leaking into a corpus.
 
-Every document is cut into overlapping word passages that cover each run of RUN words whole. Hashed
-word counts of the passages are weighted by TF-IDF over the whole corpus, and a randomised SVD of the
-passage matrix gives a latent space: each pass sums the projection of all passages by feature in the
-cluster, only feature x rank matrices reach the driver. Passages whose cosine to a piece of an item
-reaches COSINE are candidates; the longest common run and the longest common subsequence of words
-decide.
-
-eval_passages has 240 rows at every scale, so the items and their pieces are shipped to the tasks.
+The words of every text are read once, as 64-bit hashes in a table in the shared folder. A text is a row of
+blocks of RUN words; two neighbouring blocks are a passage, so each run of RUN words lies whole in some
+passage. Hashed word counts of the passages are weighted by TF-IDF over the whole corpus, and a randomised
+SVD of the passage matrix gives a latent space: each pass sums the projection of all passages by
+feature in the cluster, only feature x rank matrices reach the driver. All sums are made per block
+and added for the two passages it lies in.
+
+Passages whose cosine to a piece of an item reaches COSINE are candidates; the longest common run, the
+longest common subsequence of words and, for paraphrases, the item's rarest words decide. Runs of RUN
+words that the retrieval does not reach are asked for in the table of all runs of all items, so the
+threshold drops none.
+
+Items come to the tasks in groups of at most ITEMS (eval_passages has 240 rows at every scale).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from siltmark.llm.words import words_of
-from siltmark.session import spread, table
+from siltmark.session import cut_lineage, spread, table
 
-#: Successive words that make a leak.
+#: Successive words that make a leak, and words of a block; a passage has two.
 RUN = 13
-#: Words per passage and between passages: any run of RUN words lies whole in some passage.
-PASSAGE, STEP = 2 * RUN, RUN
 FEATURES, RANK, EXTRA, POWER_PASSES = 4096, 48, 16, 1
-#: Passages and texts that a task holds at a time.
-BLOCK, TEXTS = 2048, 256
+#: Words that a task holds at a time; longer texts come in pieces that share a block. Passages multiplied at a time.
+WORDS, PASSAGES = RUN * 2520, 512
 #: An item is asked for in pieces of RUN words, PIECE_STEP apart.
 PIECE_STEP = 3
 COSINE = 0.45
-#: A paraphrase has this part of the item's words in order, within twice the item's length.
+#: A paraphrase has this part of the item's words in order, within twice the item's length,
 PARAPHRASE, PARAPHRASE_COSINE = 0.8, 0.8
+#: and this part of the item's ANSWERS rarest words.
+ANSWERS, ANSWERED = 5, 0.6
+#: Items that are sent to the tasks together.
+ITEMS = 4096
 
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(RUN)], dtype=np.uint64)
 
-def _feature_ids(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(w) % FEATURES for w in words), dtype=np.int64, count=len(words))
-
-
-def _windows(n: int) -> range:
-    return range(0, max(1, n - PASSAGE + STEP), STEP)
-
-
-def passage_blocks(words: list[list[str]], memo: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of at most BLOCK passages of many texts: (row, feature) of every word, text of every passage."""
-    lengths: list[int] = []
-    features: list[np.ndarray] = []
-    owner: list[int] = []
-
-    def packed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = np.repeat(np.arange(len(lengths)), lengths), np.concatenate(features), np.array(owner)
-        for part in (lengths, features, owner):
-            part.clear()
-        return out
 
+def word_ids(words: list[str], memo: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words."""
     if len(memo) > 1 << 19:
         memo.clear()
-    for k, own in enumerate(words):
-        if not own:
-            continue
-        ids = np.fromiter((memo[w] if w in memo else memo.setdefault(w, xxhash.xxh32_intdigest(w) % FEATURES) for w in own), dtype=np.int64, count=len(own))
-        for start in _windows(len(ids)):
-            part = ids[start : start + PASSAGE]
-            features.append(part)
-            lengths.append(len(part))
-            owner.append(k)
-            if len(owner) == BLOCK:
-                yield packed()
-    if owner:
-        yield packed()
+    return np.fromiter((memo[w] if w in memo else memo.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), dtype=np.uint64, count=len(words))
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, int] = {}
     for batch in batches:
-        for low in range(0, len(batch), TEXTS):
-            yield batch.iloc[low : low + TEXTS]
-
+        words = [word_ids(words_of(t), memo).tobytes() for t in batch.text]
+        out = pd.DataFrame({"doc_id": batch.doc_id, "words": words})
+        yield out[[len(w) > 0 for w in words]]
+
+
+def worded(documents: DataFrame) -> DataFrame:
+    """Checkpointed (doc_id, words) of the texts that have any; nothing reads the texts again."""
+    return cut_lineage(spread(documents.select("doc_id", "text")).mapInPandas(_hashed, "doc_id long, words binary"))
+
+
+@dataclass
+class Slice:
+    """Words of several texts, cut into blocks: text and first word of each block, and the blocks of each passage."""
+
+    words: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.feature = (self.words % np.uint64(FEATURES)).astype(np.int64)
+
+    def sums(self, onto: np.ndarray) -> np.ndarray:
+        """Sum of the rows of `onto` over the words of each passage."""
+        per = np.add.reduceat(onto[self.feature], self.first, axis=0)
+        return np.where((self.left == self.right)[:, None], per[self.left], per[self.left] + per[self.right])
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(block, feature, count) of what occurs, and where a feature of a passage stands in both blocks: (cell of the left one, of the right one)."""
+        block = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(self.words)]))
+        cell, count = np.unique(block * FEATURES + self.feature, return_counts=True)
+        follows = np.zeros(len(self.first), dtype=bool)
+        follows[self.left[self.left != self.right]] = True
+        own = np.flatnonzero(follows[cell // FEATURES])
+        at = np.minimum(np.searchsorted(cell, cell[own] + FEATURES), len(cell) - 1)
+        both = cell[at] == cell[own] + FEATURES
+        return cell // FEATURES, cell % FEATURES, count, own[both], at[both]
+
+
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[np.ndarray], Slice]]:
+    """(doc_id of each text, words of each text, its blocks), about WORDS words at a time; every passage lies whole in one piece."""
+    ids, held, parts, size = [], [], [], 0
+
+    def packed():
+        owner, first, left, right, at, base = [], [], [], [], 0, 0
+        for k, part in enumerate(parts):
+            n = -(-len(part) // RUN)
+            owner.append(np.full(n, k)), first.append(at + RUN * np.arange(n))
+            pairs = np.arange(max(1, n - 1)) + base
+            left.append(pairs), right.append(pairs + (n > 1))
+            at, base = at + len(part), base + n
+        join = np.concatenate
+        return np.array(ids), held, Slice(join(parts), join(owner), join(first), join(left), join(right))
 
-def _project(rows: np.ndarray, features: np.ndarray, n: int, weighted: np.ndarray) -> np.ndarray:
-    """Rows of the TF-IDF matrix times `weighted` (feature weights already in it), without the matrix."""
-    out = np.empty((n, weighted.shape[1]), dtype=np.float32)
-    edges = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-    np.add.reduceat(weighted[features], edges, axis=0, out=out)
-    return out
+    for batch in batches:
+        for doc, words in zip(batch.doc_id, batch.words):
+            words = np.frombuffer(words, dtype=np.uint64)
+            for at in range(0, max(1, len(words) - RUN), WORDS):
+                part = words[at : at + WORDS + RUN]
+                ids.append(doc), held.append(words), parts.append(part)
+                size += len(part)
+                if size >= WORDS:
+                    yield packed()
+                    ids, held, parts, size = [], [], [], 0
+    if parts:
+        yield packed()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -95,18 +131,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo: dict[str, int] = {}
-    total, passages = np.zeros(FEATURES, dtype=np.int64), 0
-    for batch in _slices(batches):
-        for rows, features, owner in passage_blocks([words_of(t) for t in batch.text], memo):
-            total += np.bincount(np.unique(rows * FEATURES + features) % FEATURES, minlength=FEATURES)
-            passages += len(owner)
-    yield pd.DataFrame({"feature": np.r_[np.flatnonzero(total), -1], "n": np.r_[total[total > 0], passages]})
+    total, passages = np.zeros(FEATURES), 0
+    for _, _, s in slices(batches):
+        block, feature, _, left, _ = s.cells()
+        inside = np.bincount(s.left, minlength=len(s.first)) + np.bincount(s.right[s.left != s.right], minlength=len(s.first))
+        total += np.bincount(feature, inside[block], FEATURES) - np.bincount(feature[left], minlength=FEATURES)
+        passages += len(s.left)
+    used = np.flatnonzero(total)
+    yield pd.DataFrame({"feature": np.r_[used, -1].astype(np.int32), "n": np.r_[total[used], passages].astype(np.int64)})
 
 
-def inverse_frequencies(documents: DataFrame) -> np.ndarray:
+def inverse_frequencies(words: DataFrame) -> np.ndarray:
     """Weight of each hashed feature over the passages of all documents."""
-    counted = documents.select("text").mapInPandas(_counts, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = words.mapInPandas(_counts, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     found = {r.feature: r.n for r in counted.collect()}  # at most FEATURES + 1 rows
     passages = found.pop(-1, 0)
     frequency = np.zeros(FEATURES)
@@ -115,54 +152,56 @@ def inverse_frequencies(documents: DataFrame) -> np.ndarray:
     return (np.log((1 + passages) / (1 + frequency)) + 1).astype(np.float32)
 
 
-def _gram_times(documents: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _gram_times(words: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'A basis, where A has a unit TF-IDF row for every passage of every document."""
     width = basis.shape[1]
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((weights, basis.astype(np.float32)))  # FEATURES x (RANK + EXTRA + 1) numbers
+    shared = words.sparkSession.sparkContext.broadcast((weights, (weights[:, None] * basis).astype(np.float32)))  # FEATURES x (RANK + EXTRA + 1) numbers
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, onto = shared.value
-        memo: dict[str, int] = {}
         total = np.zeros((FEATURES, width))
-        for batch in _slices(batches):
-            for rows, features, owner in passage_blocks([words_of(t) for t in batch.text], memo):
-                cell, count = np.unique(rows * FEATURES + features, return_counts=True)
-                row, feature = cell // FEATURES, cell % FEATURES
-                value = count * weight[feature]
-                norm = np.sqrt(np.bincount(row, value * value, len(owner)))
-                value = (value / norm[row]).astype(np.float32)
-                edges = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-                projected = np.add.reduceat(value[:, None] * onto[feature], edges, axis=0)
-                order = np.argsort(feature, kind="stable")
-                sums = np.add.reduceat(value[order, None] * projected[row[order]], np.r_[0, np.flatnonzero(np.diff(feature[order])) + 1], axis=0)
-                total[np.unique(feature)] += sums
+        for _, _, s in slices(batches):
+            block, feature, count, left, right = s.cells()
+            own = np.bincount(block, (count * weight[feature]) ** 2, len(s.first))
+            across = np.bincount(block[left], 2 * count[left] * count[right] * weight[feature[left]] ** 2, len(s.first))
+            two = s.left != s.right
+            square = own[s.left] + np.where(two, own[s.right] + across[s.left], 0)
+            projected = s.sums(onto) / square[:, None].astype(np.float32)
+            # what a block's words add to is the sum over the passages it lies in
+            back = np.zeros((len(s.first), width), dtype=np.float32)
+            back[s.left] += projected
+            back[s.right[two]] += projected[two]
+            order = np.argsort(feature, kind="stable")
+            edges = np.r_[0, np.flatnonzero(np.diff(feature[order])) + 1]
+            sums = np.add.reduceat(count[order, None].astype(np.float32) * back[block[order]], edges, axis=0)
+            total[feature[order[edges]]] += sums
+        total *= weight[:, None]
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pd.DataFrame({"feature": used.astype(np.int32), "y": pd.Series(list(total[used]), dtype=object)})
 
     sums = [F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(width)]
     out = np.zeros((FEATURES, width))
-    for r in documents.select("text").mapInPandas(partial, "feature int, y array<double>").groupBy("feature").agg(F.array(*sums).alias("y")).toLocalIterator():
+    for r in words.mapInPandas(partial, "feature int, y array<double>").groupBy("feature").agg(F.array(*sums).alias("y")).toLocalIterator():
         out[r.feature] = r.y
     shared.unpersist()
     return out
 
 
-def latent_space(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(weights, directions): TF-IDF weights and the RANK leading right singular vectors."""
-    weights = inverse_frequencies(documents)
+    weights = inverse_frequencies(words)
     basis = np.random.default_rng(7).standard_normal((FEATURES, RANK + EXTRA))
     for _ in range(POWER_PASSES):
-        basis, _ = np.linalg.qr(_gram_times(documents, weights, basis))
-    image = _gram_times(documents, weights, basis)
+        basis, _ = np.linalg.qr(_gram_times(words, weights, basis))
+    image = _gram_times(words, weights, basis)
     values, vectors = np.linalg.eigh((small := basis.T @ image) + small.T)
     return weights, (basis @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
 
 
-def common_run(a: list[str], b: list[str]) -> int:
+def common_run(a: list, b: list) -> int:
     """Length of the longest run of successive words that stands in both."""
     best, before = 0, {}
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j, w in enumerate(b):
         where.setdefault(w, []).append(j)
     for w in a:
@@ -172,9 +211,9 @@ def common_run(a: list[str], b: list[str]) -> int:
     return best
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    masks: dict[str, int] = {}
+    masks: dict[object, int] = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | (1 << i)
     full = (1 << len(a)) - 1
@@ -185,82 +224,141 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-SCHEMA = "item_id long, doc_id long, cosine double, run int, part double"
+def runs_of(words: np.ndarray) -> np.ndarray:
+    """One number per run of RUN words."""
+    n = len(words) - RUN + 1
+    out = np.zeros(max(0, n), dtype=np.uint64)
+    for k in range(RUN if n > 0 else 0):
+        out += words[k : k + n] * _FACTORS[k]
+    return out ^ (out >> np.uint64(29))
 
 
-def leaks(documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
-    """(item_id, doc_id, cosine, run, part) of documents that repeat RUN words of an item or paraphrase it.
+@dataclass
+class Asked:
+    """Items ready for the search: names, words, rarest words, latent pieces, and all runs of all items in order."""
 
-    `run` is the longest common run of words, `part` the part of the item's words that stands in
-    order within a stretch of the document. Null and blank documents and items shorter than RUN words
-    leak nothing.
-    """
-    items = [(i, w) for i, w in items if len(w) >= RUN]
-    spark = documents.sparkSession
-    if not items:
-        return spark.createDataFrame([], SCHEMA)
-    weights, directions = latent_space(documents)
-    pieces, owner = [], []
-    for k, (_, words) in enumerate(items):
-        for start in sorted({*range(0, len(words) - RUN + 1, PIECE_STEP), len(words) - RUN}):
-            pieces.append(words[start : start + RUN])
-            owner.append(k)
+    ids: list[int]
+    words: list[np.ndarray]
+    answers: list[set[int]]
+    onto: np.ndarray
+    latent: np.ndarray
+    owner: np.ndarray
+    run: np.ndarray
+    run_item: np.ndarray
+    run_at: np.ndarray
+
+
+def ask(items: list[tuple[int, list[str]]], weights: np.ndarray, directions: np.ndarray) -> Asked:
+    memo: dict[str, int] = {}
+    words = [word_ids(w, memo) for _, w in items]
     onto = weights[:, None] * directions
-    latent = _unit(np.stack([onto[_feature_ids(p)].sum(axis=0) for p in pieces]))
-    shared = spark.sparkContext.broadcast((onto, latent, np.array(owner), items))
+    pieces, owner, runs = [], [], []
+    for k, own in enumerate(words):
+        starts = sorted({*range(0, len(own) - RUN + 1, PIECE_STEP), len(own) - RUN})
+        pieces += [onto[(own[s : s + RUN] % np.uint64(FEATURES)).astype(np.int64)].sum(axis=0) for s in starts]
+        owner += [k] * len(starts)
+        runs.append(runs_of(own))
+    answers = []
+    for own in words:
+        different = np.unique(own)
+        rarest = np.lexsort((different, -weights[(different % np.uint64(FEATURES)).astype(np.int64)]))[:ANSWERS]
+        answers.append(set(different[rarest].tolist()))
+    run = np.concatenate(runs)
+    order = np.argsort(run, kind="stable")
+    item = np.repeat(np.arange(len(items)), [len(r) for r in runs])[order]
+    at = np.concatenate([np.arange(len(r)) for r in runs])[order]
+    return Asked([i for i, _ in items], words, answers, onto, _unit(np.stack(pieces)), np.array(owner), run[order], item, at)
+
+
+def retrieved(s: Slice, asked: Asked) -> dict[tuple[int, int], float]:
+    """(text, item) -> largest cosine of a passage and a piece, of those that reach COSINE."""
+    x = _unit(s.sums(asked.onto))
+    text, n = s.text[s.left], len(asked.ids)
+    code, value = [], []
+    for low in range(0, len(x), PASSAGES):
+        cosine = (x[low : low + PASSAGES] @ asked.latent.T).ravel()
+        hit = np.flatnonzero(cosine >= COSINE)
+        code.append(text[low + hit // len(asked.owner)] * n + asked.owner[hit % len(asked.owner)])
+        value.append(cosine[hit])
+    code, value = np.concatenate(code), np.concatenate(value)
+    order = np.argsort(code, kind="stable")
+    edges = np.flatnonzero(np.diff(code[order], prepend=-1))
+    best = np.maximum.reduceat(value[order], edges) if len(edges) else np.empty(0)
+    return {divmod(c, n): v for c, v in zip(code[order[edges]].tolist(), best.tolist())}
+
+
+def repeated(words: np.ndarray, asked: Asked) -> set[int]:
+    """Items of which the text repeats RUN successive words."""
+    run = runs_of(words)
+    low, high = np.searchsorted(asked.run, run), np.searchsorted(asked.run, run, side="right")
+    out: set[int] = set()
+    for i in np.flatnonzero(high > low).tolist():
+        for j in range(int(low[i]), int(high[i])):
+            k, at = int(asked.run_item[j]), int(asked.run_at[j])
+            if k not in out and np.array_equal(words[i : i + RUN], asked.words[k][at : at + RUN]):
+                out.add(k)
+    return out
+
+
+SCHEMA = "item_id long, doc_id long, cosine double, run int, part double, answered double"
+
+
+def paraphrased(item: np.ndarray, own: list[int], answers: set[int]) -> tuple[float, float]:
+    """(part of the item's words in order, part of its rarest words) of the best stretch of a text."""
+    best = (0.0, 0.0)
+    wanted = item.tolist()
+    for start in range(0, max(1, len(own) - len(wanted)), len(wanted)):
+        stretch = own[start : start + 2 * len(wanted)]
+        best = max(best, (common_subsequence(wanted, stretch) / len(wanted), len(answers & set(stretch)) / len(answers)))
+    return best
+
+
+def search_words(words: DataFrame, items: list[tuple[int, list[str]]], weights: np.ndarray, directions: np.ndarray) -> DataFrame:
+    shared = words.sparkSession.sparkContext.broadcast(ask(items, weights, directions))  # at most ITEMS items
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        onto, latent, owner, items = shared.value
-        first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
-        runs: dict[tuple[str, ...], set[int]] = {}
-        nothing: set[int] = set()
-        for k, (_, words) in enumerate(items):
-            for i in range(len(words) - RUN + 1):
-                runs.setdefault(tuple(words[i : i + RUN]), set()).add(k)
-        memo: dict[str, int] = {}
-        for batch in _slices(batches):
-            words = [words_of(t) for t in batch.text]
-            ids = batch.doc_id.to_numpy()
-            best: dict[tuple[int, int], float] = {}
-            for rows, features, text in passage_blocks(words, memo):
-                cosine = _unit(_project(rows, features, len(text), onto)) @ latent.T
-                per_item = np.maximum.reduceat(cosine, first, axis=1)
-                p, k = np.nonzero(per_item >= COSINE)
-                for t, i, c in zip(text[p].tolist(), k.tolist(), per_item[p, k].tolist()):
-                    if c > best.get((t, i), -1.0):
-                        best[t, i] = c
-            by_text: dict[int, dict[int, float]] = {}
-            for (t, i), c in best.items():
-                by_text.setdefault(t, {})[i] = c
-            out = []
-            for t, found in by_text.items():
-                own = words[t]
-                hit = set()
-                for i in range(len(own) - RUN + 1):
-                    hit |= runs.get(tuple(own[i : i + RUN]), nothing)
-                for i, c in found.items():
-                    if i in hit or c >= PARAPHRASE_COSINE:
-                        out.append((i, t, c, i in hit))
-            rows_out = {}
-            held = lru_cache(maxsize=4)(lambda t, words=words: set(words[t]))
-            for i, t, c, exact in out:
-                item, own = items[i][1], words[t]
+        asked = shared.value
+        for ids, held, s in slices(batches):
+            found = retrieved(s, asked)
+            ends = np.r_[s.first[np.searchsorted(s.text, np.arange(1, len(ids)))], len(s.words)]
+            exact = {(t, k) for t, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) for k in repeated(s.words[a:b], asked)}
+            rows = []
+            for t, k in sorted(exact | {key for key, c in found.items() if c >= PARAPHRASE_COSINE}):
+                item, own = asked.words[k], held[t].tolist()
                 # the subsequence is no longer than the item's words that occur at all
-                if not exact and sum(map(held(t).__contains__, item)) < PARAPHRASE * len(item):
+                if (t, k) not in exact and np.isin(item, held[t]).sum() < PARAPHRASE * len(item):
                     continue
-                part = 0.0
-                for start in range(0, max(1, len(own) - len(item)), len(item)):
-                    part = max(part, common_subsequence(item, own[start : start + 2 * len(item)]) / len(item))
-                if exact or part >= PARAPHRASE:
-                    rows_out[i, t] = (c, common_run(item, own), part)
-            yield pd.DataFrame([(items[i][0], ids[t], c, run, part) for (i, t), (c, run, part) in rows_out.items()], columns=["item_id", "doc_id", "cosine", "run", "part"]).astype({"item_id": "int64", "doc_id": "int64", "cosine": float, "run": "int32", "part": float})
+                part, answered = paraphrased(item, own, asked.answers[k])
+                if (t, k) in exact or (part >= PARAPHRASE and answered >= ANSWERED):
+                    rows.append((asked.ids[k], ids[t], found.get((t, k)), common_run(item.tolist(), own), part, answered))
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "cosine", "run", "part", "answered"]).astype({"item_id": "int64", "doc_id": "int64", "cosine": float, "run": "int32", "part": float, "answered": float})
+
+    return words.mapInPandas(search, SCHEMA)
+
 
-    return documents.select("doc_id", "text").mapInPandas(search, SCHEMA)
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, cosine, run, part, answered) of documents that repeat RUN words of an item or paraphrase it.
+
+    `run` is the longest common run of words, `part` the part of the item's words that stands in
+    order within a stretch of the document, `answered` the part of its rarest words there; `cosine` is
+    null where the retrieval did not reach the document. Null and blank documents and items shorter than
+    RUN words leak nothing. A document that is longer than a piece may come out once per piece.
+    """
+    spark = documents.sparkSession
+    groups = max(1, -(-items.count() // ITEMS))
+    found, space = spark.createDataFrame([], SCHEMA), None
+    words = worded(documents)
+    for g in range(groups):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).select("item_id", "text").collect()  # about ITEMS rows
+        own = [(r.item_id, w) for r in rows if len(w := words_of(r.text)) >= RUN]
+        if own:
+            space = space or latent_space(words)
+            found = found.unionByName(search_words(words, own, *space))
+    return found
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = [(r.item_id, words_of(r.text)) for r in table(spark, sf_dir, "eval_passages").select("item_id", "text").collect()]  # 240 rows at every scale
-    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), items)
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +367,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All leaks, paraphrases included, with their measures."""
-    return _leaks(spark, sf_dir).withColumns({"cosine": F.round("cosine", 4), "part": F.round("part", 4)})
+    per = _leaks(spark, sf_dir).groupBy("item_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("cosine", "run", "part", "answered")])
+    return per.withColumns({c: F.round(c, 4) for c in ("cosine", "part", "answered")})
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
