@@ -239,7 +239,7 @@ class Asked:
 
     ids: list[int]
     words: list[np.ndarray]
-    answers: list[set[int]]
+    answers: list[np.ndarray]
     onto: np.ndarray
     latent: np.ndarray
     owner: np.ndarray
@@ -262,7 +262,7 @@ def ask(items: list[tuple[int, list[str]]], weights: np.ndarray, directions: np.
     for own in words:
         different = np.unique(own)
         rarest = np.lexsort((different, -weights[(different % np.uint64(FEATURES)).astype(np.int64)]))[:ANSWERS]
-        answers.append(set(different[rarest].tolist()))
+        answers.append(different[rarest])
     run = np.concatenate(runs)
     order = np.argsort(run, kind="stable")
     item = np.repeat(np.arange(len(items)), [len(r) for r in runs])[order]
@@ -303,6 +303,20 @@ def repeated(words: np.ndarray, asked: Asked) -> set[int]:
 SCHEMA = "item_id long, doc_id long, cosine double, run int, part double, answered double"
 
 
+def answering(words: np.ndarray, asked: Asked, items: list[int]) -> list[int]:
+    """Of the items those of whose rarest words, and of whose words, the text holds enough for a paraphrase."""
+    known = np.unique(words)
+
+    def held(of: list[np.ndarray]) -> np.ndarray:
+        flat = np.concatenate(of)
+        hit = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+        return np.add.reduceat(hit, np.r_[0, np.cumsum([len(o) for o in of])[:-1]]) / np.array([len(o) for o in of])
+
+    left = [k for k, part in zip(items, held([asked.answers[k] for k in items])) if part >= ANSWERED]
+    # the subsequence is no longer than the item's words that occur at all
+    return [k for k, part in zip(left, held([asked.words[k] for k in left])) if part >= PARAPHRASE] if left else []
+
+
 def paraphrased(item: np.ndarray, own: list[int], answers: set[int]) -> tuple[float, float]:
     """(part of the item's words in order, part of its rarest words) of the best stretch of a text."""
     best = (0.0, 0.0)
@@ -322,13 +336,14 @@ def search_words(words: DataFrame, items: list[tuple[int, list[str]]], weights:
             found = retrieved(s, asked)
             ends = np.r_[s.first[np.searchsorted(s.text, np.arange(1, len(ids)))], len(s.words)]
             exact = {(t, k) for t, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) for k in repeated(s.words[a:b], asked)}
+            near: dict[int, list[int]] = {}
+            for (t, k), c in found.items():
+                if c >= PARAPHRASE_COSINE and (t, k) not in exact:
+                    near.setdefault(t, []).append(k)
             rows = []
-            for t, k in sorted(exact | {key for key, c in found.items() if c >= PARAPHRASE_COSINE}):
+            for t, k in sorted(exact | {(t, k) for t, items in near.items() for k in answering(held[t], asked, items)}):
                 item, own = asked.words[k], held[t].tolist()
-                # the subsequence is no longer than the item's words that occur at all
-                if (t, k) not in exact and np.isin(item, held[t]).sum() < PARAPHRASE * len(item):
-                    continue
-                part, answered = paraphrased(item, own, asked.answers[k])
+                part, answered = paraphrased(item, own, set(asked.answers[k].tolist()))
                 if (t, k) in exact or (part >= PARAPHRASE and answered >= ANSWERED):
                     rows.append((asked.ids[k], ids[t], found.get((t, k)), common_run(item.tolist(), own), part, answered))
             yield pd.DataFrame(rows, columns=["item_id", "doc_id", "cosine", "run", "part", "answered"]).astype({"item_id": "int64", "doc_id": "int64", "cosine": float, "run": "int32", "part": float, "answered": float})
