@@ -98,7 +98,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source: records, records shown again in train, and pairs."""
     found = cut_lineage(records(spark, sf_dir))
-    pairs = same_image_pairs(found).groupBy("eval_id", "eval_split", "eval_source").agg(F.count(F.lit(1)).alias("n"))
-    hit = pairs.groupBy(F.col("eval_split").alias("split"), F.col("eval_source").alias("source")).agg(F.count(F.lit(1)).alias("n_overlapping"), F.sum("n").alias("n_pairs"))
+    same = name_overlaps(found).where(F.col("train_words") == F.col("eval_words")).select("gate", F.col("train_words").alias("words"), "train_raw", "eval_raw")
+    named = found.where(F.col("gate").isNotNull()).groupBy("gate", "words", "raw", "split", "source").agg(F.count(F.lit(1)).alias("n"))
+    train = named.where("split = 'train'").groupBy("gate", "words", F.col("raw").alias("train_raw")).agg(F.sum("n").alias("n_train"))
+    evals = named.where(F.col("split").isin(*EVAL_SPLITS)).withColumnRenamed("raw", "eval_raw")
+    # names stand for their records: a name of a train and b evaluation records is one row of n_train = a and n = b
+    shown = same.join(train, ["gate", "words", "train_raw"]).groupBy("gate", "words", "eval_raw").agg(F.sum("n_train").alias("n_train"))
+    hit = evals.join(shown, ["gate", "words", "eval_raw"]).groupBy("split", "source").agg(F.sum("n").alias("n_overlapping"), F.sum(F.col("n") * F.col("n_train")).alias("n_pairs"))
     every = found.where(F.col("split").isin(*EVAL_SPLITS)).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_records"))
-    return every.join(hit, ["split", "source"], "left").na.fill(0, ["n_overlapping", "n_pairs"])
+    hit = hit.withColumnRenamed("source", "hit_source").withColumnRenamed("split", "hit_split")
+    return every.join(hit, F.col("split").eqNullSafe(F.col("hit_split")) & F.col("source").eqNullSafe(F.col("hit_source")), "left").drop("hit_split", "hit_source").na.fill(0, ["n_overlapping", "n_pairs"])

@@ -55,12 +55,6 @@ def cells(spark: SparkSession, sf_dir: str, available: DataFrame) -> DataFrame:
     return joined.withColumn("need", need)
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that cannot meet their target or their floor."""
-    seats, _ = p5_seats(spark, sf_dir)
-    return seats.where(F.col("short")).select("category", "form_factor")
-
-
 def _seats(rows: list, size: int) -> dict[tuple[str, str], int]:
     """Seats of each cell: floors, then the smallest (rank - 0.5) / target, ties by cell name."""
     floor = {(r.category, r.form_factor): min(r.n, r.min_rows) for r in rows}
@@ -103,15 +97,31 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({"need": F.round("need", 6), "share": F.round("share", 6)})
 
 
-def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled records with their random rank in the cell and their priority."""
-    report, available = p5_seats(spark, sf_dir)
+def ranked_records(report: DataFrame, available: DataFrame) -> DataFrame:
+    """The available records of the cells of the report with their random rank in the cell, from 1."""
     draw = F.xxhash64("sample_id", F.lit(5))
-    wanted = available.join(F.broadcast(report.select("category", "form_factor", "seats", "target_share")), ["category", "form_factor"])
+    wanted = available.join(F.broadcast(report.select("category", "form_factor", "seats", "target_share")), ["category", "form_factor"])  # rows of quota_targets
     wanted = wanted.withColumn("draw", draw).withColumn("bucket", F.shiftrightunsigned("draw", 54))
     per_bucket = wanted.groupBy("category", "form_factor", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most 19 x BUCKETS rows
     running = Window.partitionBy("category", "form_factor").orderBy("bucket")
     before = per_bucket.withColumn("before", F.sum("n").over(running) - F.col("n")).drop("n")
     inside = Window.partitionBy("category", "form_factor", "bucket").orderBy("draw", "sample_id")
-    ranked = wanted.join(F.broadcast(before), ["category", "form_factor", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inside))
+    return wanted.join(F.broadcast(before), ["category", "form_factor", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inside))
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled records with their random rank in the cell and their priority."""
+    ranked = ranked_records(*p5_seats(spark, sf_dir))
     return ranked.where(F.col("rank") <= F.col("seats")).select("sample_id", "path", "category", "form_factor", "rank", F.round((F.col("rank") - 0.5) / F.col("target_share"), 6).alias("priority"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that gave all their records and stay below their target or their floor.
+
+    The ranks of a cell end at its last record: where they end before the need, every seat is filled
+    and the target is not met. Cells without records end at 0.
+    """
+    report, available = p5_seats(spark, sf_dir)
+    ends = ranked_records(report, available).groupBy("category", "form_factor").agg(F.max("rank").alias("last"))
+    reached = report.join(ends, ["category", "form_factor"], "left").na.fill(0, ["last"])
+    return reached.where(F.col("last") < F.col("need")).select("category", "form_factor")

@@ -22,7 +22,7 @@ def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, key, tokens, draw): every document once; null texts have no tokens."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("key"), "text"))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 64 - BITS * LEVELS)
-    return documents.select("doc_id", "key", token_count()("text").alias("tokens"), draw.alias("draw"))
+    return documents.select("doc_id", "key", token_count(spark)("text").alias("tokens"), draw.alias("draw"))
 
 
 def budgets(spark: SparkSession, sf_dir: str, sized: DataFrame) -> DataFrame:
@@ -99,6 +99,9 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their weight even when repeated as often as allowed."""
+    """Sources whose documents are all in the mix as often as allowed and still weigh too little."""
     sized = cut_lineage(sized_documents(spark, sf_dir))
-    return budgets(spark, sf_dir, sized).where("short").select("source")
+    used = _mixed(spark, sf_dir, sized).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.min("copies").alias("least_copies"))
+    found = budgets(spark, sf_dir, sized).join(used, "source", "left")
+    spent = F.coalesce(F.col("least_copies") == F.col("max_repeat"), F.lit(True))
+    return found.where(spent & (F.coalesce("mixed", F.lit(0)) < F.col("wanted"))).select("source")
