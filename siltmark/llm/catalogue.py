@@ -12,6 +12,7 @@ QUERIES = {
     "p2_report": p2_overlap.p2_report,
     "p3_found": p3_history.p3_found,
     "p3_batches": p3_history.p3_batches,
+    "p3_index": p3_history.p3_index,
     "p4_found": p4_clusters.p4_found,
     "p4_clusters": p4_clusters.p4_clusters,
     "p5_found": p5_quota.p5_found,

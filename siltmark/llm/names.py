@@ -41,6 +41,10 @@ _WORD = re.compile(r"[a-z]+")
 PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("gate", "words", "raw")])
 
 
+#: Letters of the longest word that a lexicon holds.
+LONGEST = 32
+
+
 def fold_name(name: str) -> str:
     """Lower case, without URL escapes, accents, extensions, copy marks and annotation marks."""
     if "%" in name:
@@ -73,16 +77,27 @@ def one_typing_error(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+#: Words that a lexicon may hold: it comes to the driver and goes to every task.
+MOST_WORDS = 1_000_000
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def misspellings(word: str) -> set[str]:
+    """What one dropped, exchanged, changed or added letter makes of a word."""
+    cut = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    return {
+        *(a + b[1:] for a, b in cut if b), *(a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1),
+        *(a + c + b[1:] for a, b in cut if b for c in _LETTERS), *(a + c + b for a, b in cut for c in _LETTERS),
+    } - {word}
+
+
 class Lexicon:
     """Undoes single typing errors: a rare word becomes the far more frequent word next to it."""
 
     RATIO = 8
 
     def __init__(self, counts: dict[str, int]):
-        self.counts = dict(counts)
-        self.by_length: dict[int, list[str]] = {}
-        for word in counts:
-            self.by_length.setdefault(len(word), []).append(word)
+        self.counts = counts
         self.known: dict[str, str] = {}
 
     def correct(self, word: str) -> str:
@@ -93,13 +108,13 @@ class Lexicon:
         return self.known[word]
 
     def _correct(self, word: str) -> str:
-        if len(word) < 4:
+        if not 4 <= len(word) <= LONGEST + 1:
             return word
         own = self.counts.get(word, 0)
         for fixed in _CLOSED:
             if one_typing_error(word, fixed) and own * self.RATIO <= self.counts.get(fixed, 0) + self.RATIO:
                 return fixed
-        near = [w for n in (-1, 0, 1) for w in self.by_length.get(len(word) + n, ()) if self.counts[w] >= max(2, own * self.RATIO) and one_typing_error(word, w)]
+        near = [w for w in misspellings(word) if self.counts.get(w, 0) >= max(2, own * self.RATIO)]
         return min(near, key=lambda w: (-self.counts[w], w), default=word)
 
 
@@ -160,11 +175,15 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn_lexicon(names: DataFrame, least: int = 2) -> Lexicon:
     """Word counts over all names of the one string column of `names`.
 
-    Words are counted per batch before the shuffle. What comes to the driver is a vocabulary: words
-    seen at least `least` times, whose number grows with the language of the names and not with rows.
+    Words are counted per batch before the shuffle. What comes to the driver is a vocabulary: words of 3 to LONGEST
+    letters seen at least `least` times, whose number grows with the language of the names and not with rows; more
+    than MOST_WORDS are an error. Other words correct nothing and are kept as typed.
     """
     counted = names.mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Lexicon({r.word: r.n for r in counted.where(F.col("n") >= least).where(F.length("word").between(3, 32)).toLocalIterator()})
+    kept = counted.where(F.col("n") >= least).where(F.length("word").between(3, LONGEST)).limit(MOST_WORDS + 1).collect()
+    if len(kept) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words in the names")
+    return Lexicon({r.word: r.n for r in kept})
 
 
 def parser(lexicon: Lexicon):

@@ -3,10 +3,12 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from siltmark.llm import names, p2_overlap, p3_history, p5_quota, p6_splits, records
+from siltmark.llm import names, p2_overlap, p3_history, p5_quota, p6_splits, records, small_world
 from tests.llm import tables
 
 
@@ -171,18 +173,66 @@ def test_p3_planted(spark, tmp_path):
 def test_p3_names_beyond_the_beam():
     """One name in 3,000 groups gives a few crowds of equal vectors; every key is found, with its smallest id."""
     n = 3000
-    name = {"gate": ["ticket|77|fold|1||"] * n, "words": ["home"] * n, "raw": ["home"] * n, "group_key": [f"g{i}" for i in range(n)]}
-    graphs = p3_history.build_shard(pa.table({"shard": ["labels/0"] * n, **name, "first": list(range(n))}))
+    name = {"gate": ["ticket|77|fold|1||"] * n, "words": ["home||"] * n, "raw": ["home"] * n, "group_key": [f"g{i}" for i in range(n)]}
+    graphs = p3_history.build_shard(pa.table({"segment": ["history"] * n, "shard": [0] * n, **name, "first": list(range(n))}))
     asked = pa.table({"batch_no": pa.array([1] * n, pa.int32()), **name, "entry": list(range(n)), "own": [True] * n})
-    assert sorted((r["entry"], r["first"]) for r in p3_history._search(graphs, asked).to_pylist()) == [(i, i) for i in range(n)]
+    assert sorted((r["entry"], r["first"]) for r in p3_history.searcher({})(graphs, asked).to_pylist()) == [(i, i) for i in range(n)]
 
 
 def test_p3_covering():
-    for n in (1, 2, 9, 70, 130):
-        batches = list(range(0, 3 * n, 3))
-        for place, (batch, shards) in enumerate(p3_history.covering(batches).items()):
-            held = [i for s in shards for i in range(*(lambda level, at: (at * p3_history.MERGE**level, (at + 1) * p3_history.MERGE**level))(*map(int, s.split("/")[1:])))]
-            assert held == list(range(place))
+    def places(segment):
+        level, at = map(int, segment.split("-"))
+        return list(range(at * p3_history.MERGE**level, (at + 1) * p3_history.MERGE**level))
+
+    for n in (0, 1, 2, 8, 9, 70, 130):
+        segments = p3_history.covering(n)
+        assert [p for s in segments for p in places(s)] == list(range(n))
+        assert set(segments) <= set(p3_history.completed(0, n))
+    assert p3_history.completed(7, 9) == {"0-7": range(7, 8), "0-8": range(8, 9), "1-0": range(8)}
+
+
+def test_p3_near_words():
+    unknown = lambda w: w not in ("maps", "home")
+    assert p3_history.same_words("zephyr.maps|fold|photo", "zehpyr.maps|fold|photo", unknown)
+    assert not p3_history.same_words("maps||", "mapp.s||", unknown) and not p3_history.same_words("zephyr||photo", "zehpyr||", unknown)
+    assert not p3_history.same_words("maps||", "home||", unknown) and p3_history.same_words("home||", "home||", lambda w: False)
+    assert not p3_history.same_words("home||", "hone||", lambda w: False)
+
+
+def test_p3_batch_by_batch(spark, sf, tmp_path):
+    """Adding batches one by one finds what a replay finds; a later batch reads no history rows."""
+    whole = {tuple(r) for r in p3_history.replay(spark, sf)[1].collect()}
+    p3_history.create_index(spark, str(tmp_path / "index"), p3_history.history_names(spark, sf))
+    batches = p3_history.batch_names(spark, sf)
+    got = set()
+    for b in sorted(r.batch_no for r in batches.select("batch_no").distinct().collect()):
+        index = p3_history.Index(spark, str(tmp_path / "index"))  # nothing but the folder is left of the calls before
+        found = p3_history.add_batches(index, batches.where(F.col("batch_no") == b))
+        assert not any("labels.parquet" in f for f in found.inputFiles())
+        got |= {tuple(r) for r in found.collect()}
+    assert got == whole and whole
+    with pytest.raises(ValueError):
+        p3_history.add_batches(p3_history.Index(spark, str(tmp_path / "index")), batches.where("batch_no = 0"))
+
+
+def test_p3_index(spark, sf):
+    rows = p3_history.p3_index(spark, sf).collect()
+    assert {r.segment for r in rows} >= {"history", "0-0"} and all(r.lowest_recall >= 0.98 or r.n_whole for r in rows)
+
+
+def test_small_world():
+    rng = np.random.default_rng(2)
+    x = np.zeros((5000, 9), np.float32)
+    x[:, 0], x[:, 1:] = 2 * rng.integers(0, 5000, 5000), rng.normal(size=(5000, 8)) * 0.4
+    graph = small_world.build(x)
+    truth, _ = small_world.exhaustive(x, x[:500], 5)
+    found, _ = graph.search(x[:500])
+    assert len(graph.layers) > 1 and not graph.whole and np.mean([len(set(a) & set(b)) / 5 for a, b in zip(truth.tolist(), found.tolist())]) > 0.97
+    odd = small_world.build(rng.normal(size=(3000, 12)).astype(np.float32))  # no order to follow: searched whole
+    assert odd.whole or odd.recall >= small_world.WANTED
+    ids, _ = odd.search(odd.x[:50])
+    assert (ids[:, 0] == odd.order[:50]).all()
+    assert small_world.build(np.zeros((1, 9), np.float32)).search(np.zeros((2, 9), np.float32))[0].tolist() == [[0], [0]]
 
 
 def test_p5_against_divisors(spark, sf):
