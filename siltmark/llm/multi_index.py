@@ -7,8 +7,9 @@ directions: copies and near-copies of a vector, at whatever length, count as one
 A hot bin (more than PART_ROWS entries by the sample) is cut into leaves by a codebook of its own over
 whole vectors, and a query that comes to one of its cells visits the nearest leaves first, until
 TARGET entries are held: a cell with a third of all rows does not cost the square of its rows. A leaf
-that still holds more than PART_ROWS entries is cut by the hash of the vector into parts of entries
-and chunks of queries, so what a task sees stays bounded.
+that holds more than PART_ROWS entries is cut into parts of entries, one that more than QUERY_ROWS
+vectors visit (by the visits of the sample) into chunks of queries, both by the hash of the vector, so
+what a task sees stays bounded on either side.
 
 Codebooks are fitted on SAMPLE_ROWS vectors at most; every vector is indexed.
 """
@@ -35,6 +36,8 @@ TARGET = 8192
 CELL_ROWS = 200
 MOST_CENTROIDS = 1024
 PART_ROWS = 32768
+#: Queries that a task answers, about.
+QUERY_ROWS = 16384
 #: Entries of a leaf of a hot bin, about; a leaf is fitted on at least LEAF_SAMPLE vectors.
 LEAF_ROWS = 4096
 LEAF_SAMPLE = 4
@@ -117,22 +120,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
 
 @dataclass
 class MultiIndex:
-    """Half codebooks, leaf codebooks of hot bins, and per (first, second, leaf) the directions and distinct vectors."""
+    """Half codebooks, leaf codebooks of hot bins, and per cell (first, second, leaf) the directions it holds.
+
+    Cells are packed numbers in order, with a count each: at most MOST_CENTROIDS ** 2 cells and, in hot
+    bins, MOST_CENTROIDS times SAMPLE_ROWS / LEAF_SAMPLE more. `parts` and `chunks` have an entry per bin or leaf.
+    """
 
     first: np.ndarray
     second: np.ndarray
     leaves: dict[int, np.ndarray]
-    sizes: dict[tuple[int, int, int], int]
-    distinct: dict[tuple[int, int, int], int]
+    cells: np.ndarray
+    held: np.ndarray
+    parts: dict[tuple[int, int], int]
+    chunks: dict[tuple[int, int], int]
 
     def __post_init__(self) -> None:
-        per: dict[int, set[int]] = {}
-        whole: dict[tuple[int, int], int] = {}
-        for (a, b, leaf), n in self.distinct.items():
-            per.setdefault(a, set()).add(b)
-            whole[a, leaf] = whole.get((a, leaf), 0) + n
-        self.seconds = {a: np.array(sorted(bs)) for a, bs in per.items()}
-        self.parts = {k: math.ceil(n / PART_ROWS) for k, n in whole.items()}
+        self.filled = set(np.unique(self.cells >> 40).tolist())
+        self.opened: dict[int, tuple[np.ndarray, dict[tuple[int, int], int]]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"opened": {}}
+
+    def bin_of(self, a: int) -> tuple[np.ndarray, dict[tuple[int, int], int]]:
+        """Second centroids of a bin, and the directions of its (second, leaf); looked up once per process."""
+        if a not in self.opened:
+            low, high = np.searchsorted(self.cells, [a << 40, (a + 1) << 40])
+            b, leaf = self.cells[low:high] >> 20 & 0xFFFFF, self.cells[low:high] & 0xFFFFF
+            self.opened[a] = np.unique(b), dict(zip(zip(b.tolist(), leaf.tolist()), self.held[low:high].tolist()))
+        return self.opened[a]
 
     def leaf_of(self, x: np.ndarray, bins: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), dtype=np.int64)
@@ -149,7 +164,7 @@ class MultiIndex:
 
     def visited(self, x: np.ndarray, d1: np.ndarray, d2: np.ndarray, target: int) -> dict[tuple[int, int], list[int]]:
         """Cells by summed distance until they hold `target` directions: (first centroid, leaf) -> second ones."""
-        order = [a for a in np.argsort(d1, kind="stable").tolist() if a in self.seconds]
+        order = [a for a in np.argsort(d1, kind="stable").tolist() if a in self.filled]
         least = float(d2.min())
         heap: list[tuple[float, int, int]] = []
         rows: dict[int, list[int]] = {}
@@ -159,7 +174,7 @@ class MultiIndex:
         while held < target:
             while opened < len(order) and (not heap or d1[order[opened]] + least <= heap[0][0]):
                 a = order[opened]
-                bs = self.seconds[a]
+                bs = self.bin_of(a)[0]
                 rows[a] = bs[np.argsort(d2[bs], kind="stable")].tolist() if len(bs) > 1 else [int(bs[0])]
                 heapq.heappush(heap, (float(d1[a] + d2[rows[a][0]]), a, 0))
                 opened += 1
@@ -171,7 +186,7 @@ class MultiIndex:
                 c = self.leaves[a]
                 nearest[a] = np.argsort(np.einsum("ij,ij->i", c, c) - 2 * c @ x, kind="stable").tolist()
             for leaf in nearest.get(a, (0,)):
-                if held < target and (n := self.sizes.get((a, b, leaf))):
+                if held < target and (n := self.bin_of(a)[1].get((b, leaf))):
                     out.setdefault((a, leaf), []).append(b)
                     held += n
             if i + 1 < len(rows[a]):
@@ -179,7 +194,7 @@ class MultiIndex:
         return out
 
 
-def _reader(change: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None]):
+def reader(change: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = usable_rows(batch)
@@ -189,22 +204,24 @@ def _reader(change: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None]):
     return run
 
 
-def build_index(spark: SparkSession, vectors: DataFrame) -> MultiIndex:
-    """Codebooks from a bounded sample in hash order, cell sizes from all usable vectors.
+def build_index(spark: SparkSession, vectors: DataFrame, target: int | None = None) -> MultiIndex:
+    """Codebooks from a bounded sample in hash order, cell sizes from all usable vectors, visits from the sample.
 
     An index over no usable vectors has no cells.
     """
+    target = TARGET if target is None else target
     rows = vectors.count()
     threshold = min(1 << 30, int((1 << 30) * SAMPLE_ROWS / max(rows, 1)))
     sampled = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < threshold)
-    packed = sampled.mapInArrow(_reader(lambda ids, x: pa.record_batch({"payload": pa.array(encode(x), pa.binary())})), "payload binary").collect()
+    packed = sampled.mapInArrow(reader(lambda ids, x: pa.record_batch({"payload": pa.array(encode(x), pa.binary())})), "payload binary").collect()
     sample = unit(decode([r.payload for r in packed])) if packed else np.empty((0, DIMENSIONS), np.float32)
     if not len(sample):
         sample = np.zeros((1, DIMENSIONS), np.float32)
     k = 1 << min(int(math.log2(MOST_CENTROIDS)), max(0, round(math.log2(math.sqrt(max(rows, 1) / CELL_ROWS)))))
     h = DIMENSIONS // 2
     first, second = kmeans(sample[:, :h], k, seed=1), kmeans(sample[:, h:], k, seed=2)
-    bare = MultiIndex(first, second, {}, {}, {})
+    none = np.empty(0, dtype=np.int64)
+    bare = MultiIndex(first, second, {}, none, none, {}, {})
     home = bare.distances(sample)[0].argmin(axis=1)
     for a, n in enumerate(np.bincount(home, minlength=k).tolist()):
         share = n / len(sample) * rows
@@ -223,12 +240,29 @@ def build_index(spark: SparkSession, vectors: DataFrame) -> MultiIndex:
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["cell", "direction", "vector"])
 
     # equal vectors, wherever they are read, become one row before anything is counted
-    different = vectors.mapInArrow(_reader(count), "cell long, direction long, vector long").distinct()
+    different = vectors.mapInArrow(reader(count), "cell long, direction long, vector long").distinct()
     counted = different.groupBy("cell", "direction").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.count(F.lit(1)).alias("directions"), F.sum("n").alias("n"))
-    # at most one row per pair of centroids and leaf: a part of N / CELL_ROWS
-    cells = {(r.cell >> 40, r.cell >> 20 & 0xFFFFF, r.cell & 0xFFFFF): (r.directions, r.n) for r in counted.toLocalIterator()}
+    cells = counted.toArrow()  # three numbers per cell, see MultiIndex
     books.unpersist()
-    return MultiIndex(first, second, bare.leaves, {k: v[0] for k, v in cells.items()}, {k: v[1] for k, v in cells.items()})
+    cell, held, entries = (np.asarray(cells.column(c), dtype=np.int64) for c in ("cell", "directions", "n"))
+    order = np.argsort(cell)
+    cell, held, entries = cell[order], held[order], entries[order]
+    of, at = np.unique((cell >> 40 << 20) + (cell & 0xFFFFF), return_inverse=True)
+    names = [(o >> 20, o & 0xFFFFF) for o in of.tolist()]
+    whole = np.bincount(at, entries, len(of)) if len(of) else none
+    index = MultiIndex(first, second, bare.leaves, cell, held, {key: math.ceil(n / PART_ROWS) for key, n in zip(names, whole.tolist())}, {})
+    shared = spark.sparkContext.broadcast(index)
+
+    def visit(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        index, u = shared.value, unit(x)
+        d1, d2 = index.distances(u)
+        visits = [key for r in range(len(u)) for key in index.visited(u[r], d1[r], d2[r], target)]
+        return pa.record_batch([pa.array(c, pa.int32()) for c in zip(*visits)], names=["bin", "leaf"])
+
+    visits = sampled.mapInArrow(reader(visit), "bin int, leaf int").groupBy("bin", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per bin or leaf
+    shared.unpersist()
+    index.chunks = {(r.bin, r.leaf): math.ceil(r.n * rows / len(sample) / QUERY_ROWS) for r in visits}
+    return index
 
 
 def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int) -> DataFrame:
@@ -257,18 +291,18 @@ def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int
             home, b = (int(home1[r]), int(leaves[r])), int(home2[r])
             visits[home] = [b, *(c for c in visits.get(home, ()) if c != b)]
             for (bin_, leaf), cells in visits.items():
-                parts = index.parts[bin_, leaf]
-                mine = key % parts
+                parts, chunks = index.parts[bin_, leaf], index.chunks.get((bin_, leaf), 1)
+                part, chunk = key % parts, (key >> 32) % chunks
                 # queries meet all parts in one chunk, entries meet all chunks in one part
-                needed = [(p, mine) for p in range(parts)]
+                needed = [(p, chunk) for p in range(parts)]
                 if (bin_, leaf) == home:
-                    needed += [(mine, c) for c in range(parts) if c != mine]
-                for part, chunk in needed:
-                    for column, value in zip(columns, (bin_, leaf, part, chunk, (bin_, leaf) == home and part == mine, chunk == mine, cells, own, data)):
+                    needed += [(part, c) for c in range(chunks) if c != chunk]
+                for p, c in needed:
+                    for column, value in zip(columns, (bin_, leaf, p, c, (bin_, leaf) == home and p == part, c == chunk, cells, own, data)):
                         column.append(value)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SENT_ARROW.types)], schema=_SENT_ARROW)
 
-    return vectors.mapInArrow(_reader(route), SENT)
+    return vectors.mapInArrow(reader(route), SENT)
 
 
 @dataclass

@@ -76,7 +76,7 @@ def build_blocks(spark: SparkSession, vectors: DataFrame) -> Blocks:
     rows = vectors.count()
     threshold = min(1 << 30, int((1 << 30) * mi.SAMPLE_ROWS / max(rows, 1)))
     sampled = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < threshold)
-    packed = sampled.mapInArrow(mi._reader(lambda ids, x: pa.record_batch({"payload": pa.array(mi.encode(x), pa.binary())})), "payload binary").collect()
+    packed = sampled.mapInArrow(mi.reader(lambda ids, x: pa.record_batch({"payload": pa.array(mi.encode(x), pa.binary())})), "payload binary").collect()
     sample = mi.unit(mi.decode([r.payload for r in packed])) if packed else np.zeros((1, mi.DIMENSIONS), np.float32)
     m = min(MOST_LEAVES, LEAVES_PER_BLOCK * math.ceil(max(rows, 1) / BLOCK_ROWS), max(1, len(sample) // 4))
     centres = mi.kmeans(sample, m, seed=5)
@@ -93,7 +93,7 @@ def build_blocks(spark: SparkSession, vectors: DataFrame) -> Blocks:
         found = sorted(set(zip(leaf.tolist(), vector, d.min(axis=1).astype(float).tolist())))
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["leaf", "vector", "d"])
 
-    different = vectors.mapInArrow(mi._reader(measure), "leaf long, vector long, d double").groupBy("leaf", "vector").agg(F.max("d").alias("d"))
+    different = vectors.mapInArrow(mi.reader(measure), "leaf long, vector long, d double").groupBy("leaf", "vector").agg(F.max("d").alias("d"))
     sizes, radius = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), -np.inf)
     for r in different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect():  # at most MOST_LEAVES rows
         sizes[r.leaf], radius[r.leaf] = r.n, r.d
@@ -138,7 +138,7 @@ def send(spark: SparkSession, vectors: DataFrame, blocks: Blocks) -> DataFrame:
                     column.append(value)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SENT.types)], schema=_SENT)
 
-    return vectors.mapInArrow(mi._reader(route), SENT)
+    return vectors.mapInArrow(mi.reader(route), SENT)
 
 
 def bounding(u: np.ndarray, basis: np.ndarray) -> np.ndarray:
