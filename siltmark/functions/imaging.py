@@ -8,18 +8,19 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Operators and their weights, the luminance weights, the padding grey.
-INJECTORS = ("black_region", "empty_space", "overlay", "disorder", "cropped")
-REFLOW_WEIGHTS = {"scroll_shift": 1.0, "two_pane": 0.6, "ar_relayout": 1.0, "band_jitter": 1.0}
+# The luminance weights, the padding grey, the model's input size, channel means and deviations, and
+# the level and part from which a patch counts as changed.
 LUMA = (0.299, 0.587, 0.114)
 PAD_GREY = (124, 116, 104)
+SIZE, PATCH = 518, 14
+CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+CHANGED_LEVEL, CHANGED_PART = 12, 0.25
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -120,148 +121,13 @@ def pad_square(image: np.ndarray, fill: tuple[int, int, int] = PAD_GREY) -> np.n
     return out
 
 
-def border_colour(image: np.ndarray, width: int = 8) -> np.ndarray:
-    """Median colour of the four border strips; corners count twice, as they lie in two strips."""
-    strips = (image[:width], image[-width:], image[:, :width], image[:, -width:])
-    return np.median(np.concatenate([s.reshape(-1, 3) for s in strips]), axis=0).astype(np.uint8)
+def preprocess(image: np.ndarray, pad: bool = True, size: int = SIZE) -> np.ndarray:
+    """A square of `size`, padded or stretched, as channel-first floats with the model's means and deviations removed."""
+    square = resize(pad_square(image) if pad else image, size, size)
+    return ((square / np.float32(255) - np.array(CHANNEL_MEAN, np.float32)) / np.array(CHANNEL_STD, np.float32)).transpose(2, 0, 1).astype(np.float32)
 
 
-def _span(rng: np.random.Generator, whole: int, low: float, high: float) -> tuple[int, int]:
-    """A random stretch of `whole` whose length is a part of it: (start, length)."""
-    length = max(1, int(whole * rng.uniform(low, high)))
-    return int(rng.integers(0, max(1, whole - length) + 1)), length
-
-
-def black_region(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Black strips along one side or both vertical sides."""
-    out, part = image.copy(), rng.uniform(0.12, 0.32)
-    sides = (("left",), ("right",), ("top",), ("bottom",), ("left", "right"))[rng.integers(5)]
-    n = {"left": int(out.shape[1] * part), "top": int(out.shape[0] * part)}
-    for side in sides:
-        view = out if side in ("top", "bottom") else out.transpose(1, 0, 2)
-        k = n["top" if side in ("top", "bottom") else "left"]
-        view[slice(0, k) if side in ("left", "top") else slice(len(view) - k, None)] = 0
-    return out
-
-
-def empty_space(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A large rectangle in the border colour."""
-    out = image.copy()
-    y, h = _span(rng, out.shape[0], 0.20, 0.45)
-    x, w = _span(rng, out.shape[1], 0.40, 0.95)
-    out[y : y + h, x : x + w] = border_colour(image)
-    return out
-
-
-def overlay(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A copy of one part, slightly translucent, over another."""
-    out = image.copy()
-    y, h = _span(rng, out.shape[0], 0.12, 0.30)
-    x, w = _span(rng, out.shape[1], 0.25, 0.55)
-    ty, tx = int(rng.integers(0, max(1, out.shape[0] - h) + 1)), int(rng.integers(0, max(1, out.shape[1] - w) + 1))
-    target = out[ty : ty + h, tx : tx + w]
-    piece = image[y : y + target.shape[0], x : x + target.shape[1]]
-    target = target[: piece.shape[0], : piece.shape[1]]
-    strength = rng.uniform(0.75, 1.0)
-    target[:] = (strength * piece + (1 - strength) * target).astype(np.uint8)
-    return out
-
-
-def disorder(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Two to four horizontal bands pushed sideways over the border colour."""
-    out, colour = image.copy(), border_colour(image)
-    for _ in range(int(rng.integers(2, 5))):
-        y, h = _span(rng, out.shape[0], 0.10, 0.22)
-        push = int(out.shape[1] * rng.uniform(0.08, 0.25)) * (1 if rng.random() < 0.5 else -1)
-        band = np.roll(out[y : y + h], push, axis=1)
-        band[:, slice(0, push) if push >= 0 else slice(push, None)] = colour
-        out[y : y + h] = band
-    return out
-
-
-def cropped(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Content shifted down or right, cut at the far side, a strip of border colour before it."""
-    part, down = rng.uniform(0.15, 0.35), rng.random() < 0.5
-    axis = 0 if down else 1
-    n = int(image.shape[axis] * part)
-    out = np.roll(image, n, axis=axis)
-    (out if down else out.transpose(1, 0, 2))[:n] = border_colour(image)
-    return out
-
-
-def scroll_shift(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    return np.roll(image, int(image.shape[0] * rng.uniform(0.05, 0.25)) * (1 if rng.random() < 0.5 else -1), axis=0)
-
-
-def two_pane(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Upper and lower half side by side, each over the whole height."""
-    h, w, _ = image.shape
-    if min(h, w) < 16:
-        return image.copy()
-    left = max(8, w // 2)
-    return np.concatenate([resize(image[: h // 2], h, left), resize(image[h // 2 :], h, w - left)], axis=1)
-
-
-def ar_relayout(image: np.ndarray, rng: np.random.Generator, aspects: list[float] | None = None) -> np.ndarray:
-    """Another aspect ratio: one of the given ones within 6 percent, or a random one."""
-    h, w, _ = image.shape
-    if min(h, w) < 64:
-        return image.copy()
-    stretch = w / h / max(1e-3, float(rng.choice(aspects)) * rng.uniform(0.94, 1.06)) if aspects else rng.uniform(0.5, 2.0)
-    root = stretch**0.5
-    return resize(image, int(np.clip(round(h * root), 64, 2 * h)), int(np.clip(round(w / root), 64, 2 * w)))
-
-
-def quiet_bands(image: np.ndarray) -> list[tuple[int, int, bool]]:
-    """Runs of rows (start, end, quiet): quiet rows have no edge above or below and even colour."""
-    plain = image.astype(np.float32).mean(axis=2)
-    calm = np.r_[True, np.abs(np.diff(plain, axis=0)).mean(axis=1) < 1.5, True]
-    quiet = calm[:-1] & calm[1:] & (plain.std(axis=1) < 8.0)
-    edges = np.r_[0, np.flatnonzero(np.diff(quiet)) + 1, len(quiet)]
-    return [(int(a), int(b), bool(quiet[a])) for a, b in zip(edges[:-1], edges[1:])]
-
-
-def band_jitter(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Gaps of more than 8 quiet rows grow or shrink by up to 30 percent; scrolls where there is none."""
-    h, w, _ = image.shape
-    if h < 32:
-        return image.copy()
-    bands = quiet_bands(image)
-    if not any(q and b - a > 8 for a, b, q in bands):
-        return scroll_shift(image, rng)
-    parts = [resize(image[a:b], max(2, round((b - a) * rng.uniform(0.7, 1.3))), w) if q and b - a > 8 else image[a:b] for a, b, q in bands]
-    return resize(np.concatenate(parts), h, w)
-
-
-KERNELS: dict[str, Callable[[np.ndarray, np.random.Generator], np.ndarray]] = {f.__name__: f for f in (black_region, empty_space, overlay, disorder, cropped, scroll_shift, two_pane, ar_relayout, band_jitter)}
-
-
-def reflow(image: np.ndarray, rng: np.random.Generator, weights: dict[str, float] | None = None, most: int = 2, aspects: list[float] | None = None) -> tuple[np.ndarray, list[str]]:
-    """One to `most` harmless layout changes, drawn by weight without repetition; a new canvas comes last."""
-    weights = {k: v for k, v in (weights or REFLOW_WEIGHTS).items() if v > 0}
-    if not weights:
-        return image.copy(), []
-    k = min(int(rng.integers(1, max(1, most) + 1)), len(weights))
-    p = np.array(list(weights.values()))
-    chosen = rng.choice(list(weights), size=k, replace=False, p=p / p.sum()).tolist()
-    chosen.sort(key=lambda name: name == "ar_relayout")
-    for name in chosen:
-        image = ar_relayout(image, rng, aspects) if name == "ar_relayout" else KERNELS[name](image, rng)
-    return image, chosen
-
-
-def benign(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A round trip through another resolution, brightness and contrast, sometimes a blur."""
-    h, w, _ = image.shape
-    scale = rng.uniform(0.5, 1.0)
-    out = resize(resize(image, max(1, int(h * scale)), max(1, int(w * scale))), h, w).astype(np.float32)
-    out = (out - out.mean()) * rng.uniform(0.9, 1.1) + out.mean() * rng.uniform(0.9, 1.1)
-    if rng.random() < 0.3:
-        out = _box_mean(out, 3)
-    return np.clip(out, 0, 255).astype(np.uint8)
-
-
-def _box_mean(a: np.ndarray, win: int) -> np.ndarray:
+def box_mean(a: np.ndarray, win: int) -> np.ndarray:
     """Mean over a win x win box, mirrored at the borders."""
     half = win // 2
     pad = [(half, win - 1 - half), (half, win - 1 - half), *[(0, 0)] * (a.ndim - 2)]
@@ -270,61 +136,19 @@ def _box_mean(a: np.ndarray, win: int) -> np.ndarray:
     return (sums[win:, win:] - sums[:-win, win:] - sums[win:, :-win] + sums[:-win, :-win]) / (win * win)
 
 
-def label_regions(mask: np.ndarray) -> np.ndarray:
-    """Numbers the 4-connected regions of a mask from 1, in the order of their first pixel."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        old = label.copy()
-        for view in (label, label[::-1], label.T, label.T[::-1]):
-            on = view > 0
-            for y in range(1, len(view)):
-                both = on[y] & on[y - 1]
-                view[y][both] = np.minimum(view[y][both], view[y - 1][both])
-        if (old == label).all():
-            break
-    kept, number = np.unique(label, return_inverse=True)
-    return number.reshape(h, w) + (0 if kept[0] == 0 else 1)
-
-
-def dead_regions(image: np.ndarray, work: int = 480, win: int = 17, flat: float = 7.0, black: float = 15.0, least_black: float = 0.06, least_empty: float = 0.08, span: float = 0.80, thick: float = 0.45) -> list[dict]:
-    """Flat regions that look like dead screen: black bars and blocks, and empty bands at a border."""
-    h0, w0, _ = image.shape
-    scale = work / max(h0, w0)
-    plain = resize(image, max(1, int(h0 * scale)), max(1, int(w0 * scale))).astype(np.float32).mean(axis=2)
-    h, w = plain.shape
-    mean = _box_mean(plain, win)
-    calm = np.sqrt(np.maximum(_box_mean(plain * plain, win) - mean * mean, 0)) < flat
-    out = []
-    for kind, mask, least in (("black_region", calm & (plain < black), least_black), ("empty_space", calm & (plain >= black), least_empty)):
-        number = label_regions(mask)
-        sizes = np.bincount(number.ravel())
-        for k in np.flatnonzero(sizes >= least * h * w):
-            if k == 0:
-                continue
-            ys, xs = np.nonzero(number == k)
-            top, bottom, left, right = ys.min(), ys.max(), xs.min(), xs.max()
-            sides = [n for n, hit in (("left", left <= 2), ("right", right >= w - 3), ("top", top <= 2), ("bottom", bottom >= h - 3)) if hit]
-            tall, wide = (bottom - top + 1) / h, (right - left + 1) / w
-            band = (wide <= thick and tall >= span and bool({"left", "right"} & {*sides})) or (tall <= thick and wide >= span and bool({"top", "bottom"} & {*sides}))
-            part = sizes[k] / (h * w)
-            if band or (kind == "black_region" and part > 0.06 and len(sides) >= 2):
-                out.append({"kind": kind, "part": round(float(part), 4), "light": round(float(plain[ys, xs].mean()), 1), "sides": "+".join(sides), "is_band": bool(band), "box": [round(float(v), 3) for v in (left / w, top / h, right / w, bottom / h)]})
-    return out
-
-
-def dead_score(regions: list[dict]) -> float:
-    black = sum(r["part"] for r in regions if r["kind"] == "black_region")
-    empty = sum(r["part"] for r in regions if r["kind"] == "empty_space")
-    return round(min(1.0, black + 0.6 * empty), 4)
+def changed_patches(before: np.ndarray, after: np.ndarray, size: int = SIZE, patch: int = PATCH) -> np.ndarray:
+    """Row-major flags of the patches of the padded square of which more than CHANGED_PART differs by more than CHANGED_LEVEL on the channels' mean.
 
+    Images of different sizes are compared after both are padded and sampled.
+    """
+    def sampled(image: np.ndarray) -> np.ndarray:
+        side = max(image.shape[:2])
+        at = np.arange(size) * side // size
+        return pad_square(image)[at][:, at].astype(int)
 
-def changed_patches(before: np.ndarray, after: np.ndarray, size: int = 518, patch: int = 14, most: float = 0.25) -> np.ndarray:
-    """Row-major flags of the patches of which more than a part differs by more than 12 levels."""
-    differs = np.abs(before.astype(int) - after.astype(int)).max(axis=2) > 12
-    y, x = (np.arange(size) * differs.shape[0] // size, np.arange(size) * differs.shape[1] // size)
+    differs = np.abs(sampled(before) - sampled(after)).mean(axis=2) > CHANGED_LEVEL
     n = size // patch
-    return (differs[y][:, x][: n * patch, : n * patch].reshape(n, patch, n, patch).mean(axis=(1, 3)) > most).ravel()
+    return (differs[: n * patch, : n * patch].reshape(n, patch, n, patch).mean(axis=(1, 3)) > CHANGED_PART).ravel()
 
 
 def hash_images(images: DataFrame) -> DataFrame:
@@ -339,39 +163,3 @@ def hash_images(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "w", "h", "phash"]).astype({"phash": "Int64", "w": "int32", "h": "int32"})
 
     return images.select("path", "content").mapInPandas(run, "path string, w int, h int, phash long")
-
-
-def make_variants(images: DataFrame, kinds: tuple[str, ...] = INJECTORS, variants: int = 1, seed: int = 0) -> DataFrame:
-    """(parent, applied, variant, content) for every readable image, operator and variant number.
-
-    The random stream of a variant follows from seed, parent, operator and number, not from the task.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, applied, variant, content in zip(batch.path, batch.applied, batch.variant, batch.content):
-                image = decode_png(content)
-                if image is not None:
-                    rng = np.random.default_rng([seed, zlib.crc32(path.encode()), zlib.crc32(applied.encode()), variant])
-                    yield pd.DataFrame({"parent": [path], "applied": [applied], "variant": [variant], "content": [encode_png(KERNELS[applied](image, rng))]}).astype({"variant": "int32"})
-
-    planned = images.select("path", "content").withColumn("applied", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
-    return planned.mapInPandas(run, "parent string, applied string, variant int, content binary")
-
-
-REGIONS = "path string, score double, kind string, part double, light double, sides string, is_band boolean, box array<double>"
-
-
-def find_regions(images: DataFrame) -> DataFrame:
-    """One row per dead region of every readable image; images without any give one row of nulls."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.path, batch.content):
-                image = decode_png(content)
-                found = dead_regions(image) if image is not None else []
-                rows += [(path, dead_score(found), *r.values()) for r in found] or [(path, None if image is None else 0.0, *[None] * 6)]
-            yield pd.DataFrame(rows, columns=["path", "score", "kind", "part", "light", "sides", "is_band", "box"], dtype=object)
-
-    return images.select("path", "content").mapInPandas(run, REGIONS)

@@ -171,9 +171,9 @@ def image_hashes(spark, sf):
 @query("image_variants")
 def image_variants(spark, sf):
     """Sizes and hashes of every injected and reflowed variant."""
-    from siltmark.functions import imaging
+    from siltmark.functions import imaging, layouts
 
-    made = imaging.make_variants(_drawn(spark, sf), tuple(imaging.KERNELS))
+    made = layouts.make_variants(_drawn(spark, sf), layouts.OPERATORS)
     hashed = imaging.hash_images(made.select(F.concat_ws("__", "parent", "applied").alias("path"), "content"))
     return hashed.groupBy(F.element_at(F.split("path", "__"), -1).alias("applied")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("phash").alias("n_hashes"))
 
@@ -181,10 +181,10 @@ def image_variants(spark, sf):
 @query("image_regions")
 def image_regions(spark, sf):
     """Dead regions found in screens with an injected black strip, by kind and sides."""
-    from siltmark.functions import imaging
+    from siltmark.functions import layouts, regions
 
-    made = imaging.make_variants(_drawn(spark, sf), ("black_region",)).select(F.col("parent").alias("path"), "content")
-    return imaging.find_regions(made).groupBy("kind", "is_band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("score"))
+    made = layouts.make_variants(_drawn(spark, sf), ("black_region",)).select(F.col("parent").alias("path"), "content")
+    return regions.find_regions(made).groupBy("kind", "is_band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("score"))
 
 
 @query("rebuild_dataset")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.functions import imaging
+from siltmark.functions import imaging, layouts, regions
 from siltmark.operators import training
 from siltmark.sources import readers
 from siltmark.streaming import ingest
@@ -79,20 +79,66 @@ def test_png_round_trip_and_filters():
     assert imaging._unfilter(4, line, above, 3).tolist()[:3] == [6, 252, 6]
 
 
-def test_kernels_keep_shape_and_follow_the_seed():
-    image = screen(320, 400)
-    for name, kernel in imaging.KERNELS.items():
+def test_operators_keep_shape_and_follow_the_seed():
+    image = np.random.default_rng(4).integers(0, 255, (320, 400, 3)).astype(np.uint8)
+    kept = image.copy()
+    for name in layouts.OPERATORS:
         for seed in range(5):
-            out = kernel(image, np.random.default_rng(seed))
-            assert out.dtype == np.uint8 and (out == kernel(image, np.random.default_rng(seed))).all()
+            out = layouts.apply(name, image, np.random.default_rng(seed))
+            assert out.dtype == np.uint8 and (out == layouts.apply(name, image, np.random.default_rng(seed))).all()
             assert name == "ar_relayout" or out.shape == image.shape
             assert out.std() > 1, name
-    assert (image == screen(320, 400)).all()
-    out, ops = imaging.reflow(image, np.random.default_rng(1), {"ar_relayout": 1.0, "scroll_shift": 1.0}, most=2)
+    assert (image == kept).all()
+    out, ops = layouts.reflow(image, np.random.default_rng(1), {"ar_relayout": 1.0, "scroll_shift": 1.0}, most=2)
     assert ops in (["scroll_shift", "ar_relayout"], ["ar_relayout"], ["scroll_shift"])
-    aspect = imaging.ar_relayout(image, np.random.default_rng(0), [0.96]).shape
+    aspect = layouts.apply("ar_relayout", image, np.random.default_rng(0), [0.96]).shape
     assert abs(aspect[1] / aspect[0] - 0.96) < 0.08
-    assert imaging.reflow(image, np.random.default_rng(0), {"two_pane": 0.0})[1] == []
+    assert layouts.reflow(image, np.random.default_rng(0), {"two_pane": 0.0})[1] == []
+    assert layouts.apply("two_pane", image[:8], np.random.default_rng(0)).shape == image[:8].shape
+
+
+def test_plans_stay_in_the_ranges():
+    """The parts that plans cover are the fixed ranges of the operators."""
+    h, w = 1000, 2000
+    part = lambda stroke, k: stroke.box[k + 2] / (h, w)[k]
+    for seed in range(40):
+        plan = {name: layouts.PLANS[name](h, w, np.random.default_rng(seed)) for name in layouts.INJECTORS}
+        (empty,), (over,) = plan["empty_space"], plan["overlay"]
+        assert 0.2 <= part(empty, 0) + 1e-3 and part(empty, 0) <= 0.45 and 0.4 <= part(empty, 1) + 1e-3 and part(empty, 1) <= 0.95 and empty.fill == "border"
+        assert 0.12 <= part(over, 0) + 1e-3 and part(over, 1) <= 0.55 and 0.75 <= over.strength <= 1
+        assert 4 <= len(plan["disorder"]) <= 8 and all(s.fill == "black" for s in plan["black_region"]) and len(plan["black_region"]) <= 2
+        crop = plan["cropped"][1]
+        assert 0.15 <= max(crop.box[0] / h, crop.box[1] / w) + 1e-3 <= 0.352
+        for stroke in (s for p in plan.values() for s in p):
+            assert 0 <= stroke.box[0] < h and 0 <= stroke.box[1] < w
+
+
+def test_canvases():
+    image = np.zeros((100, 60, 3), np.uint8)
+    image[:10], image[60:70] = 200, 90
+    (pane,) = layouts.canvas_scroll_shift(image, np.random.default_rng(0))
+    assert sorted(pane.rows.tolist()) == list(range(100))
+    gap = layouts.gaps(image)
+    assert set(np.unique(gap[gap >= 0]).tolist()) and gap[9] == gap[10] == gap[59] == gap[60] == -1 and (gap[12:58] == gap[12]).all() and gap[12] != gap[80] >= 0
+    (pane,) = layouts.canvas_band_jitter(image, np.random.default_rng(3))
+    assert (np.diff(pane.rows) > 0).all() and pane.rows[0] > -0.5 and pane.rows[-1] < 99.5
+    assert (layouts.sample(image, np.arange(100), np.arange(60)) == image).all()
+    left, right = layouts.canvas_two_pane(image, np.random.default_rng(0))
+    assert left.rows.max() < 50 <= right.rows.min() + 0.5 and len(left.columns) + len(right.columns) == 60
+
+
+def test_changed_patches():
+    before = screen(518, 518)
+    after = before.astype(int)
+    after[:14, :14, 0] += 30  # a mean of 10 levels
+    after[28:42, 28:42] += 20
+    after[56:60, 56:60] += 60  # less than a quarter of a patch
+    flags = imaging.changed_patches(before, np.clip(after, 0, 255).astype(np.uint8)).reshape(37, 37)
+    assert np.argwhere(flags).tolist() == [[2, 2]]
+    tall = np.full((518, 259, 3), 50, np.uint8)
+    assert imaging.changed_patches(tall, tall).sum() == 0 and imaging.changed_patches(tall, np.full((518, 518, 3), 50, np.uint8)).sum() > 300
+    x = imaging.preprocess(before)
+    assert x.shape == (3, 518, 518) and abs(float(x[0].mean()) - (before[..., 0].mean() / 255 - 0.485) / 0.229) < 1e-3
 
 
 def test_hash_is_robust_and_tells_layouts_apart():
@@ -102,25 +148,46 @@ def test_hash_is_robust_and_tells_layouts_apart():
     assert far(noisy, big) <= 6 and far(noisy, noisy[:, ::-1]) > 10
 
 
-def test_regions():
+def labelled(mask):
+    run = regions.runs(mask)
+    out = np.zeros(mask.shape, int)
+    for (row, start, end), k in zip(run, np.unique(regions.joined_runs(run, mask.shape[1]), return_inverse=True)[1]):
+        out[row, start:end] = k + 1
+    return out.tolist()
+
+
+def test_regions(spark):
     image = np.random.default_rng(0).integers(0, 255, (480, 500, 3)).astype(np.uint8)
-    assert imaging.dead_regions(image) == []
-    image[:, :100] = 0
-    (found,) = imaging.dead_regions(image)
-    assert found["kind"] == "black_region" and found["is_band"] and "left" in found["sides"] and 0.15 < found["part"] < 0.22
+    assert regions.flat_regions(image) == []
+    bar, block, middle = image.copy(), image.copy(), image.copy()
+    bar[:, :100], block[:200, :200], middle[100:400, 100:400] = 0, 0, 0
+    bar[:, 420:] = 240
+    images = spark.createDataFrame([(n, bytearray(imaging.encode_png(i))) for n, i in (("none", image), ("bar", bar), ("block", block), ("middle", middle))], "path string, content binary")
+    found = {}
+    for r in regions.find_regions(images).collect():
+        found.setdefault(r.path, []).append(r)
+    assert [r.kind for r in found["none"]] == [None] and found["none"][0].score == 0
+    assert found["middle"][0].kind is None  # flat and black, but at no side
+    assert [(r.kind, r.is_band, r.sides) for r in found["block"]] == [("black_region", False, "left+top")]
+    black, empty = sorted(found["bar"], key=lambda r: r.kind)
+    assert (black.kind, black.is_band, empty.kind, empty.is_band) == ("black_region", True, "empty_space", True) and 0.15 < black.part < 0.22
+    assert black.score == pytest.approx(black.part + 0.6 * empty.part, abs=2e-4)
     mask = np.array([[1, 0, 1], [1, 0, 1], [1, 1, 1], [0, 0, 0], [1, 0, 1]], bool)
-    assert imaging.label_regions(mask).tolist() == [[1, 0, 1], [1, 0, 1], [1, 1, 1], [0, 0, 0], [2, 0, 3]]
-    assert imaging.label_regions(np.ones((2, 2), bool)).tolist() == [[1, 1], [1, 1]]
+    assert labelled(mask) == [[1, 0, 1], [1, 0, 1], [1, 1, 1], [0, 0, 0], [2, 0, 3]]
+    assert labelled(np.ones((2, 2), bool)) == [[1, 1], [1, 1]] and labelled(np.zeros((2, 2), bool)) == [[0, 0], [0, 0]]
+    assert labelled(np.array([[1, 0], [0, 1]], bool)) == [[1, 0], [0, 2]]
+    snake = np.array([[1, 1, 1, 1, 1], [0, 0, 0, 0, 1], [1, 1, 1, 0, 1], [1, 0, 1, 0, 1], [1, 0, 1, 1, 1], [1, 0, 0, 0, 0], [1, 1, 1, 1, 1]], bool)
+    assert np.max(labelled(snake)) == 1
 
 
 def test_image_frames(spark, folder):
     images = spark.read.format("binaryFile").load(f"{folder}/*.png").select("path", "content")
     hashed = {r.path.rsplit("/", 1)[-1]: r for r in imaging.hash_images(images).collect()}
     assert hashed["c.png"].w == -1 and hashed["c.png"].phash is None and hashed["a.png"].phash == imaging.dhash64(screen())
-    found = {r.path.rsplit("/", 1)[-1]: r for r in imaging.find_regions(images).collect()}
+    found = {r.path.rsplit("/", 1)[-1]: r for r in regions.find_regions(images).collect()}
     assert found["c.png"].score is None and found["c.png"].box is None and found["a.png"].score is not None
-    made = imaging.make_variants(images, ("overlay", "disorder"), variants=2, seed=1)
-    assert made.count() == 2 * 2 * 2 and made.exceptAll(imaging.make_variants(images.repartition(3), ("overlay", "disorder"), 2, 1)).count() == 0
+    made = layouts.make_variants(images, ("overlay", "disorder"), variants=2, seed=1)
+    assert made.count() == 2 * 2 * 2 and made.exceptAll(layouts.make_variants(images.repartition(3), ("overlay", "disorder"), 2, 1)).count() == 0
 
 
 def test_head_gradient_and_training():
