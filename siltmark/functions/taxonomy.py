@@ -47,6 +47,12 @@ def clean_form_factor(form: Column) -> Column:
     return F.when(name == "", "unknown").when(name.startswith("unidentif"), "unidentified").otherwise(name)
 
 
+def clean_group(group: Column) -> Column:
+    """Group name without case, blanks, invisible characters and the separator in a ticket; blank and null name none."""
+    bare = F.regexp_replace(F.lower(group), r"[\s\u00a0\u200b\ufeff]+", "")
+    return F.nullif(F.regexp_replace(bare, r"^iksww[-_]*(?=[0-9])", "iksww-"), F.lit(""))
+
+
 def loose_bool(flag: Column) -> Column:
     """`true` in any case is true; everything else, null and blank included, is false."""
     return F.coalesce(F.lower(F.trim(flag)) == "true", F.lit(False))

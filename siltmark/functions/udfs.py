@@ -15,14 +15,15 @@ from siltmark.functions import imaging
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def l2_normalize(vectors: pd.Series) -> pd.Series:
     """Vectors of length 1; zero vectors stay, null stays null."""
-    def one(v):
-        if v is None:
-            return None
-        x = np.asarray(v, dtype=float)
-        length = np.sqrt((x * x).sum())
-        return x / length if length > 0 else x
-
-    return vectors.map(one)
+    known = vectors[vectors.notna()]
+    if not len(known):
+        return vectors
+    flat = np.concatenate([np.asarray(v, dtype=float) for v in known]) if known.map(len).sum() else np.empty(0)
+    ends = np.cumsum(known.map(len).to_numpy())
+    owner = np.repeat(np.arange(len(known)), known.map(len).to_numpy())
+    length = np.sqrt(np.bincount(owner, flat * flat, len(known)))
+    flat = flat / np.where(length > 0, length, 1.0)[owner]
+    return pd.Series(np.split(flat, ends[:-1]), index=known.index).reindex(vectors.index)
 
 
 @F.pandas_udf(T.LongType())

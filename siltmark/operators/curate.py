@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from siltmark.functions import names, taxonomy
+from siltmark.operators.ordered import ranks
+from siltmark.session import cut_lineage
 
 
 def tidy_labels(labels: DataFrame) -> DataFrame:
-    """Records with split, category, form factor and flags in one spelling."""
+    """Records with split, category, group, form factor and flags in one spelling."""
     return labels.withColumns({
         "split": taxonomy.clean_split(F.col("split"), F.col("path")),
         "category": taxonomy.clean_category(F.col("category")),
+        "group": taxonomy.clean_group(F.col("group")),
         "form_factor": taxonomy.clean_form_factor(F.col("form_factor")),
         "orientation": F.coalesce(F.nullif(F.lower(F.trim("orientation")), F.lit("")), F.lit("unknown")),
         "is_competitor": taxonomy.loose_bool(F.col("is_competitor")),
@@ -69,12 +72,25 @@ def missing_splits(df: DataFrame, category: str, split: str) -> DataFrame:
     return have.select(category, F.concat_ws(",", F.array_except(F.array(*[F.lit(s) for s in taxonomy.SPLITS]), "have")).alias("missing"))
 
 
-def unique_names(df: DataFrame, folder: str, name: Column, tie: str) -> DataFrame:
-    """`df` with `unique_name`: repeated names of a folder get _1, _2, ... before the suffix."""
-    base = df.withColumn("__name", name)
-    at = F.row_number().over(Window.partitionBy(folder, "__name").orderBy(tie)) - 1
-    numbered = base.withColumn("__n", at)
-    return numbered.withColumn("unique_name", F.when(F.col("__n") == 0, F.col("__name")).otherwise(F.concat(names.stem(F.col("__name")), F.lit("_"), F.col("__n").cast("string"), F.regexp_extract("__name", r".(\.[^.]*)$", 1)))).drop("__name", "__n")
+def unique_names(df: DataFrame, folder: str, name: Column, tie: str, most_rounds: int = 20) -> DataFrame:
+    """`df` with `unique_name`: repeated names of a folder get _1, _2, ... before the suffix.
+
+    A name made like that may be another file's own: the later of the two, in the order of own names first
+    and then `tie`, is numbered again, until no two names of a folder are equal.
+    """
+    def numbered(rows: DataFrame) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(folder, "unique_name").orderBy("__made", tie)) - 1
+        rows = rows.withColumn("__n", at)
+        made = F.concat(names.stem(F.col("unique_name")), F.lit("_"), F.col("__n").cast("string"), F.regexp_extract("unique_name", r".(\.[^.]*)$", 1))
+        return rows.withColumns({"unique_name": F.when(F.col("__n") == 0, F.col("unique_name")).otherwise(made), "__made": F.col("__made") + (F.col("__n") > 0).cast("int")}).drop("__n")
+
+    rows = numbered(df.withColumns({"unique_name": name, "__made": F.lit(0)}))
+    for _ in range(most_rounds):
+        rows = cut_lineage(rows)
+        if rows.groupBy(folder, "unique_name").count().where("count > 1").isEmpty():
+            return rows.drop("__made")
+        rows = numbered(rows)
+    raise RuntimeError(f"names still repeat after {most_rounds} rounds")
 
 
 def controlled(form: Column, orientation: Column, kind: Column, y: Column) -> Column:
@@ -88,3 +104,45 @@ def near_square(aspect: Column) -> Column:
 
 def aspect_bucket(aspect: Column) -> Column:
     return F.when(aspect < 0.5, "<0.5").when(aspect < 0.8, "0.5-0.8").when(aspect < 1.1, "0.8-1.1").when(aspect < 1.5, "1.1-1.5").when(aspect >= 1.5, ">1.5")
+
+
+def same_resolution(errors: DataFrame, clean: DataFrame, name: str) -> DataFrame:
+    """Errors of the clean class's own size (one row of w and h), with `independent`: not named like a capture of a session."""
+    return errors.join(F.broadcast(clean), ["w", "h"]).withColumn("independent", ~F.col(name).startswith("Screenshot_"))
+
+
+def development_pool(rows: DataFrame) -> DataFrame:
+    """Real rows of train and val and synthetic rows of train, with `is_real`; a synthetic row has its clean parent's group.
+
+    Synthetic rows without a known parent are groups of their own.
+    """
+    real = rows.where("source = 'real' AND split IN ('train', 'val')")
+    parents = real.where("label = 0").groupBy(names.stem(F.col("name")).alias("parent")).agg(F.min("group").alias("pg"))
+    synthetic = rows.where("source = 'synthetic' AND split = 'train'").withColumn("parent", names.synthetic_parent(F.col("name"))).join(parents, "parent", "left")
+    grouped = F.coalesce("pg", F.concat(F.lit("synthorphan:"), F.col("sample_id").cast("string")))
+    columns = ["sample_id", "name", "category", "label", "group", "is_real"]
+    return real.withColumn("is_real", F.lit(True)).select(*columns).unionByName(synthetic.withColumns({"group": grouped, "is_real": F.lit(False)}).select(*columns))
+
+
+def probe_union(rows: DataFrame, split: str) -> DataFrame:
+    """Clean real rows (y = 0) and synthetic errors (y = 1) of one split: a probe whose classes share their sizes."""
+    held = rows.where(F.col("split") == split)
+    clean = held.where("source = 'real' AND label = 0").withColumns({"y": F.lit(0), "src": F.lit("clean")})
+    return clean.unionByName(held.where("source = 'synthetic'").withColumns({"y": F.lit(1), "src": F.lit("synth")}))
+
+
+def calibration_set(real: DataFrame, synthetic: DataFrame, reflow: DataFrame) -> DataFrame:
+    """(method, y): clean real rows, synthetic errors and reflowed clean rows; without any synthetic row the real rows by their label."""
+    if synthetic.isEmpty():
+        return real.select(F.lit("real_val").alias("method"), F.col("label").alias("y"))
+    parts = ((real.where("label = 0"), 0), (synthetic, 1), (reflow, 0))
+    first, *rest = [df.select(F.lit("confound_free").alias("method"), F.lit(y).alias("y")) for df, y in parts]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def remapped_parents(probes: DataFrame, kept: DataFrame, parent: str, order: str) -> DataFrame:
+    """Probes whose parent is kept, with `new_parent`: the parent's place among the kept ones, from 0."""
+    numbered = ranks(kept.select(parent, order), order, [], parent).select(parent, (F.col("rank") - 1).alias("new_parent"))
+    return probes.join(numbered, parent)

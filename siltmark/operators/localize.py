@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from siltmark.operators.ordered import quantiles
 from siltmark.operators.similarity import nearest_references
 
 
@@ -21,8 +22,8 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, vector: str) -> DataFr
 
 def calibration(bank: DataFrame, vector: str) -> DataFrame:
     """One row: median and 99.5th percentile of the bank's own nearest distances."""
-    own = nearest_distance(bank, bank, vector)
-    return own.agg(F.percentile("distance", F.lit(0.5)).alias("p50"), F.percentile("distance", F.lit(0.995)).alias("p995"))
+    found = quantiles(nearest_distance(bank, bank, vector), "distance", [0.5, 0.995])
+    return found.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p995"))
 
 
 def anomaly(queries: DataFrame, bank: DataFrame, vector: str) -> DataFrame:

@@ -68,7 +68,7 @@ def sweep(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     steps = _steps(df, by).withColumn("k", F.col("wp") + F.col("wn"))
     run = running_totals(steps, "s", ["wp", "k"], by, descending=True)
-    totals = steps.groupBy(*by).agg(F.sum("wp").alias("P"), F.sum("wn").alias("N"))
+    totals = run.groupBy(*by).agg(F.sum("wp").alias("P"), F.sum("wn").alias("N"))  # from the written steps
     joined = run.join(F.broadcast(totals), by) if by else run.crossJoin(F.broadcast(totals))  # one row of totals
     return joined.select(*by, "s", "wp", "k", F.col("run_wp").alias("tp"), F.col("run_k").alias("np"), "P", "N")
 
@@ -193,3 +193,35 @@ def compare_methods(frames: dict[str, DataFrame], metric: Callable[[DataFrame],
         part = metric(frame).withColumn("method", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def fixed_labels(df: DataFrame, truth: str, predicted: str, labels: list) -> DataFrame:
+    """Support, precision, recall, F1 and one-versus-rest accuracy of every given label, whether or not a row has it."""
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(v,) for v in labels], f"class {dict(df.dtypes)[truth]}")  # the closed list
+    per = per_class(df, truth, predicted).select("class", "support", "n_pred", "tp")
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    joined = wanted.join(per, "class", "left").na.fill(0, ["support", "n_pred", "tp"]).crossJoin(F.broadcast(total))  # one row of total
+    right = F.col("n") - F.col("support") - F.col("n_pred") + 2 * F.col("tp")
+    precision, recall = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("support"))
+    return joined.select("class", "support", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"), ratio(right, F.col("n")).alias("accuracy"))
+
+
+def label_summary(fixed: DataFrame) -> DataFrame:
+    """Accuracy over all rows and the mean F1 over the labels of `fixed_labels`."""
+    hits = F.sum(F.col("recall") * F.col("support"))
+    return fixed.agg(ratio(hits, F.sum("support"), None).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+
+
+def macro_auroc(per: DataFrame) -> DataFrame:
+    """Mean AUROC over the classes that have one, and their number."""
+    return per.agg(F.avg("auroc").alias("auroc_macro"), F.count("auroc").alias("n_classes"))
+
+
+def reflow_false_positives(clean: DataFrame, reflow: DataFrame, threshold: float) -> DataFrame:
+    """How harmless layout changes score beside real clean rows: AUROC (near 0.5 is wanted), rate above the threshold, means."""
+    rows = clean.select("s", F.lit(0).alias("y")).unionByName(reflow.select("s", F.lit(1).alias("y")))
+    of = lambda y, c: F.when(F.col("y") == y, c)
+    above = (F.col("s") > threshold).cast("double")
+    counts = usable(rows).agg(F.count(of(0, F.col("s"))).alias("n_clean"), F.count(of(1, F.col("s"))).alias("n_reflow"), F.avg(of(1, above)).alias("fp_rate"), F.count_if((F.col("y") == 1) & (F.col("s") > threshold)).alias("n_fp"), F.avg(of(1, F.col("s"))).alias("mean_reflow"), F.avg(of(0, F.col("s"))).alias("mean_clean"))
+    return counts.crossJoin(auroc(rows).select("auroc"))  # one row each

@@ -10,8 +10,10 @@ import random
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from siltmark.operators.curate import majority
+from siltmark.operators.ordered import ranks
 
 MOST_GROUPS = 1_000_000
 
@@ -110,17 +112,37 @@ def grouped_holdout(df: DataFrame, group: str, fraction: float, seed: int) -> Da
     return _back(df, group, placed, "held", "boolean")
 
 
-def hash_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataFrame:
-    """`df` with `fold`, spread evenly within each stratum by hash, without ordering the rows."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, stratum), F.lit(folds)).cast("int"))
+def app_partition(df: DataFrame, app: str, val_apps: int, test_apps: int, seed: int) -> DataFrame:
+    """`df` with `split`: in a seeded order of the applications the first are val, the next test, the rest train.
+
+    Rows without an application are left out.
+    """
+    apps = df.where(F.col(app).isNotNull()).select(app).distinct()
+    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(app))), app)
+    # the first applications only: the limit comes before the window
+    first = apps.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(app))), app).limit(val_apps + test_apps).withColumn("__r", F.row_number().over(order))
+    named = first.select(app, F.when(F.col("__r") <= val_apps, "val").otherwise("test").alias("__split"))
+    joined = df.where(F.col(app).isNotNull()).drop("split").join(F.broadcast(named), app, "left")
+    return joined.withColumn("split", F.coalesce("__split", F.lit("train"))).drop("__split")
+
+
+def even_folds(df: DataFrame, key: str, stratum: str, folds: int, seed: int = 0) -> DataFrame:
+    """`df` with `fold`: in the order of a hash the rows of each stratum are dealt out in turn, so folds differ by one row at most."""
+    drawn = df.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return ranks(drawn, "__draw", [stratum], key).withColumn("fold", ((F.col("rank") - 1) % folds).cast("int")).drop("rank", "__draw")
+
+
+def complete_folds(df: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """`scored`, checked: every key of `df` once and no other; a row that is missing or repeated fails the query."""
+    counted = df.select(key).withColumn("__want", F.lit(1)).unionByName(scored.select(key).withColumn("__want", F.lit(-1))).groupBy(key).agg(F.sum("__want").alias("__off")).where("__off <> 0")
+    wrong = counted.agg(F.count(F.lit(1)).alias("__wrong"))
+    checked = wrong.select(F.assert_true(F.col("__wrong") == 0, F.lit("out-of-fold rows are not complete")).alias("__ok"))
+    return scored.crossJoin(F.broadcast(checked)).where(F.col("__ok").isNull()).drop("__ok")  # one row
 
 
 def permuted_labels(df: DataFrame, stratum: str, label: str, key: str, seed: int) -> DataFrame:
     """`df` with `placebo`: the labels of each stratum dealt out again in hash order."""
-    from pyspark.sql.window import Window
-
-    here = Window.partitionBy(stratum).orderBy(key)
-    there = Window.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    rows = df.withColumn("__at", F.row_number().over(here))
-    dealt = df.select(F.col(stratum), F.col(label).alias("placebo"), F.row_number().over(there).alias("__at"))
-    return rows.join(dealt, [stratum, "__at"]).drop("__at")
+    here = ranks(df, key, [stratum], key).withColumnRenamed("rank", "__at")
+    drawn = df.select(F.col(key), F.col(stratum), F.col(label).alias("placebo"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("__draw"))
+    there = ranks(drawn, "__draw", [stratum], key).select(stratum, "placebo", F.col("rank").alias("__at"))
+    return here.join(there, [stratum, "__at"]).drop("__at")

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from siltmark.functions import names, taxonomy, vectors
 from siltmark.operators import curate
-from siltmark.plans.registry import STEM, SUFFIX, TICKET, TIDY, query
+from siltmark.operators.ordered import quantiles
+from siltmark.plans.registry import FOLD, STEM, SUFFIX, TICKET, TIDY, query
 from siltmark.session import table
 
 
@@ -16,7 +17,7 @@ def tidy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pool_manifest").withColumn("name", names.base_name(F.col("path")))
+    return table(spark, sf, "pool_manifest").withColumns({"name": names.base_name(F.col("path")), "group": taxonomy.clean_group(F.col("group"))})
 
 
 POOL = "p AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM pool_manifest)"
@@ -270,22 +271,25 @@ def inventory(spark, sf):
 
 @query("numeric_profile", "SELECT source, min(w) AS min_w, median(w) AS med_w, max(w) AS max_w, min(h) AS min_h, median(h) AS med_h, max(h) AS max_h, round(median(aspect), 6) AS med_aspect FROM pool_manifest WHERE w > 0 GROUP BY 1")
 def numeric_profile(spark, sf):
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return pool(spark, sf).where("w > 0").groupBy("source").agg(F.min("w").alias("min_w"), med("w").alias("med_w"), F.max("w").alias("max_w"), F.min("h").alias("min_h"), med("h").alias("med_h"), F.max("h").alias("max_h"), F.round(med("aspect"), 6).alias("med_aspect"))
+    rows = pool(spark, sf).where("w > 0")
+    out = rows.groupBy("source").agg(F.min("w").alias("min_w"), F.max("w").alias("max_w"), F.min("h").alias("min_h"), F.max("h").alias("max_h"))
+    for column in ("w", "h", "aspect"):
+        out = out.join(quantiles(rows, column, [0.5], ["source"]).select("source", F.col("q")[0].alias(f"med_{column}")), "source", "left")
+    return out.withColumn("med_aspect", F.round("med_aspect", 6))
 
 
-@query("pool_audit", """WITH g AS (SELECT source, "group" AS grp, count(DISTINCT form_factor) AS postures FROM pool_manifest GROUP BY 1, 2)
-SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT "group") AS BIGINT) AS n_groups, CAST(count(DISTINCT device) AS BIGINT) AS n_devices, CAST((SELECT count(*) FROM g WHERE g.source = p.source AND postures > 1 AND grp IS NOT NULL) AS BIGINT) AS multi_posture FROM pool_manifest p GROUP BY 1""")
+@query("pool_audit", f"""WITH p AS (SELECT source, device, form_factor, {FOLD.format('"group"')} AS grp FROM pool_manifest), g AS (SELECT source, grp, count(DISTINCT form_factor) AS postures FROM p GROUP BY 1, 2)
+SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT grp) AS BIGINT) AS n_groups, CAST(count(DISTINCT device) AS BIGINT) AS n_devices, CAST((SELECT count(*) FROM g WHERE g.source = p.source AND postures > 1 AND grp IS NOT NULL) AS BIGINT) AS multi_posture FROM p GROUP BY 1""")
 def pool_audit(spark, sf):
     rows = pool(spark, sf)
     per = rows.where(F.col("group").isNotNull()).groupBy("source", "group").agg(F.countDistinct("form_factor").alias("postures")).groupBy("source").agg(F.count_if(F.col("postures") > 1).alias("multi_posture"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group").alias("n_groups"), F.countDistinct("device").alias("n_devices")).join(per, "source", "left").na.fill(0, ["multi_posture"])
 
 
-@query("capture_todo", """SELECT app, screen, form_factor, orientation FROM capture_plan c WHERE NOT EXISTS (SELECT 1 FROM pool_manifest p WHERE p."group" = 'fold:' || c.app || ':' || c.screen AND p.form_factor = c.form_factor AND p.orientation = c.orientation)""")
+@query("capture_todo", f"""WITH p AS (SELECT form_factor, orientation, {FOLD.format('"group"')} AS grp FROM pool_manifest) SELECT app, screen, form_factor, orientation FROM capture_plan c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.grp = {FOLD.format("'fold:' || c.app || ':' || c.screen")} AND p.form_factor = c.form_factor AND p.orientation = c.orientation)""")
 def capture_todo(spark, sf):
     done = pool(spark, sf).select("group", "form_factor", "orientation")
-    plan = table(spark, sf, "capture_plan").withColumn("group", F.concat(F.lit("fold:"), "app", F.lit(":"), "screen"))
+    plan = table(spark, sf, "capture_plan").withColumn("group", taxonomy.clean_group(F.concat(F.lit("fold:"), "app", F.lit(":"), "screen")))
     return plan.join(done, ["group", "form_factor", "orientation"], "left_anti").select("app", "screen", "form_factor", "orientation")
 
 

@@ -182,14 +182,14 @@ def falsifiability(spark, sf):
 b AS (SELECT rep, wp, wn, sum(wn) OVER (PARTITION BY rep ORDER BY s) - wn AS below FROM c) SELECT rep, round(sum(wp * (below + wn / 2)) / (sum(wp) * sum(wn)), 6) AS auroc FROM b GROUP BY 1""")
 def weighted_auroc(spark, sf):
     rows = scored(spark, sf)
-    draws = rows.select("g").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("m", (F.col("g") * 7 + F.col("rep") * 13) % 4)
-    return rounded(metrics.auroc(rows.join(draws, "g"), ["rep"]).select("rep", "auroc"), "auroc")
+    draws = rows.select("g").distinct().withColumn("m", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda rep: ((F.col("g") * 7 + rep * 13) % 4).cast("int")))
+    return rounded(bootstrap.replicates(rows, "g", draws, 20).select("rep", "auroc"), "auroc")
 
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
     rows = scored(spark, sf)
-    values = bootstrap.replicates(rows, "g", bootstrap.multiplicities(rows, "g", 50))
+    values = bootstrap.replicates(rows, "g", bootstrap.multiplicities(rows, "g", 50), 50)
     return rounded(bootstrap.interval(values, "auroc"), "mean", "ci_lo", "ci_hi")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from siltmark.operators import components, splits
+from siltmark.functions import taxonomy
+from siltmark.operators import components, curate, splits
 from siltmark.plans.curation import tidy
 from siltmark.plans.registry import TIDY, query
 from siltmark.session import ensure_checkpoint_dir, table
@@ -49,20 +50,20 @@ def connected(spark, sf):
 
 @query("mother_image", f"WITH {TIDY}, a AS (SELECT sample_id, try_strptime(regexp_extract(name, '([0-9]{{8}})[_-]([0-9]{{6}})', 1) || regexp_extract(name, '([0-9]{{8}})[_-]([0-9]{{6}})', 2), '%Y%m%d%H%M%S') AS ts FROM t WHERE source = 'real' AND category = 'clean'), b AS (SELECT sample_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, sample_id)) AS d FROM a WHERE ts IS NOT NULL) SELECT sample_id, CAST(sum(CASE WHEN d > 300000000 THEN 1 ELSE 0 END) OVER (ORDER BY ts, sample_id) AS BIGINT) AS session FROM b")
 def mother_image(spark, sf):
-    """Sessions of clean captures over all devices, 300 seconds apart at most.
-
-    The order is global: days are sessionized on their own, then joined where midnight falls into a
-    session, so no task sees more than a day.
-    """
+    """Sessions of clean captures over all devices, 300 seconds apart at most."""
     from siltmark.functions import names
 
-    rows = tidy(spark, sf).where("source = 'real' AND category = 'clean'").select("sample_id", names.shot_time(F.col("name")).alias("ts")).where("ts IS NOT NULL")
-    daily = components.sessionize(rows.withColumn("day", F.to_date("ts")), ["day"], "ts", "sample_id", 300)
-    ends = daily.groupBy("day").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("session").alias("opened"))
-    across = Window.orderBy("day")  # one row per day
-    stepped = ends.withColumn("step", F.coalesce(F.lag("opened").over(across), F.lit(0)) + F.when(F.unix_seconds("first") - F.unix_seconds(F.lag("last").over(across)) > 300, 1).otherwise(0))
-    base = stepped.select("day", F.sum("step").over(across).alias("base"))
-    return daily.join(base, "day").select("sample_id", (F.col("session") + F.col("base")).alias("session"))
+    rows = tidy(spark, sf).where("source = 'real' AND category = 'clean'").select("sample_id", names.shot_time(F.col("name")).alias("ts"))
+    return components.sessions_across_days(rows, "ts", "sample_id", 300).select("sample_id", "session")
+
+
+@query("session_components", f"""WITH RECURSIVE {near_sql(4)}, o AS (SELECT pool_id, epoch_us(shot_ts) - epoch_us(lag(shot_ts) OVER (ORDER BY shot_ts, pool_id)) AS d, lag(pool_id) OVER (ORDER BY shot_ts, pool_id) AS before FROM pool_manifest WHERE shot_ts IS NOT NULL),
+l AS (SELECT pool_id AS u, before AS v FROM o WHERE d <= 300000000 UNION SELECT x.pool_id, y.pool_id FROM pool_manifest x JOIN pool_manifest y ON x.phash = y.phash AND x.pool_id > y.pool_id UNION SELECT x.pool_id, y.pool_id FROM e JOIN pool_manifest x ON x.phash = e.a JOIN pool_manifest y ON y.phash = e.b),
+s AS (SELECT u, v FROM l UNION SELECT v, u FROM l), r(node, near) AS (SELECT u, v FROM s UNION SELECT r.node, s.v FROM r JOIN s ON s.u = r.near), c AS (SELECT node, least(node, min(near)) AS component FROM r GROUP BY 1)
+SELECT pool_id, coalesce(component, pool_id) AS component FROM pool_manifest LEFT JOIN c ON node = pool_id""")
+def session_components(spark, sf):
+    """Sessions of the pool joined with its near duplicates."""
+    return components.capture_components(table(spark, sf, "pool_manifest"), "pool_id", "shot_ts", "phash", 300, 4)
 
 
 @query("grouped_split")
@@ -82,7 +83,7 @@ def grouped_holdout(spark, sf):
     return splits.grouped_holdout(tidy(spark, sf), "group", 0.2, 1).groupBy("held").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("label_permutation")
+@query("label_permutation", f"WITH {TIDY}, h AS (SELECT form_factor, label, row_number() OVER (PARTITION BY form_factor ORDER BY sample_id) AS i FROM t), d AS (SELECT form_factor, label AS placebo, row_number() OVER (PARTITION BY form_factor ORDER BY md5('3:' || sample_id), sample_id) AS i FROM t) SELECT form_factor, CAST(sum(label) AS BIGINT) AS errors, CAST(sum(placebo) AS BIGINT) AS placebo_errors, CAST(count(*) FILTER (WHERE label <> placebo) AS BIGINT) AS moved FROM h JOIN d USING (form_factor, i) GROUP BY 1")
 def label_permutation(spark, sf):
     dealt = splits.permuted_labels(tidy(spark, sf).select("sample_id", "form_factor", "label"), "form_factor", "label", "sample_id", 3)
     return dealt.groupBy("form_factor").agg(F.sum("label").alias("errors"), F.sum("placebo").alias("placebo_errors"), F.count_if(F.col("label") != F.col("placebo")).alias("moved"))
@@ -94,7 +95,7 @@ def holdout_fill(spark, sf):
 
     sizes = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     keyed = sizes.withColumn("at", F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 12), 16, 10).cast("bigint"))
-    run = running_totals(keyed, "at", ["n"])
+    run = running_totals(keyed, "at", ["n"], tie="user_id")
     total = sizes.agg((F.sum("n") * 0.2).alias("target"))
     return run.crossJoin(F.broadcast(total)).where(F.col("run_n") - F.col("n") < F.col("target")).select("user_id", "n")  # one row of total
 
@@ -133,9 +134,9 @@ def stream_dedup(spark, sf):
 
 @query("stream_perceptual")
 def stream_perceptual(spark, sf):
-    """Greedy perceptual deduplication of the pool, with the kept hashes as state per device."""
-    rows = _stream(spark, sf, "pool_manifest").select(F.col("pool_id").alias("id"), "phash", F.coalesce("device", "source").alias("source"))
-    return ingest.run_available(ingest.perceptual_dedup(rows, 6), _work(spark))
+    """Greedy perceptual deduplication of the pool against all kept hashes."""
+    rows = _stream(spark, sf, "pool_manifest").select(F.col("pool_id").alias("id"), "phash")
+    return ingest.perceptual_dedup(rows, 6, _work(spark))
 
 
 def _drawn(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,6 +198,16 @@ def rebuild_dataset(spark, sf):
     return rows.groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group").alias("n_groups"), F.sum("copies").alias("copies"))
 
 
+@query("rebuild_leaks", "SELECT CAST(0 AS BIGINT) AS n_leaks")
+def rebuild_leaks(spark, sf):
+    """Groups, whatever their spelling, that the rebuilt splits divide: none."""
+    from siltmark import pipeline
+    from siltmark.config import Config
+
+    rows = pipeline.rebuild(table(spark, sf, "labels"), Config())
+    return curate.leaks(rows.withColumn("group", taxonomy.clean_group(F.col("group"))), "group", "split").agg(F.count(F.lit(1)).alias("n_leaks"))
+
+
 @query("weighted_sample")
 def weighted_sample(spark, sf):
     from siltmark.operators.localize import weighted_sample as draw

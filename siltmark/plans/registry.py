@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # Independent statements of the shared inputs, for the SQL engine that checks the results.
-TIDY = """t AS (SELECT sample_id, path, regexp_extract(path, '[^/]*$') AS name, source, category_id, label, "group" AS grp, kind,
+FOLD = r"nullif(regexp_replace(regexp_replace(lower({0}), '[\s\x{{00a0}}\x{{200b}}\x{{feff}}]+', '', 'g'), '^iksww[-_]*([0-9])', 'iksww-\1'), '')"
+TIDY = """t AS (SELECT sample_id, path, regexp_extract(path, '[^/]*$') AS name, source, category_id, label, """ + FOLD.format('"group"') + """ AS grp, kind,
  coalesce(nullif(lower(trim(split)), ''), lower(split_part(path, '/', 1))) AS split,
  CASE WHEN trim(coalesce(category, '')) = '' THEN 'clean' ELSE regexp_replace(lower(trim(category)), '[ -]', '_', 'g') END AS category,
  CASE WHEN trim(coalesce(form_factor, '')) = '' THEN 'unknown' WHEN lower(trim(form_factor)) LIKE 'unidentif%' THEN 'unidentified' ELSE lower(trim(form_factor)) END AS form_factor,

@@ -1,7 +1,7 @@
 """Catalogue: vectors, prototypes, k nearest references and the two-stage decision.
 
-The embeddings table stands for projected vectors: label 0 is clean, even vec_ids are references and
-odd ones queries.
+The embeddings table stands for projected vectors: label 0 is clean. Prototypes are made of all vectors and meet
+all of them; searches take the stated query set, ids divisible by 100, against all other vectors.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ def embedded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
-    return embedded(spark, sf).where("id % 2 = 0")
+    return embedded(spark, sf)
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    return embedded(spark, sf).where("id % 2 = 1")
+    """The query set of searches."""
+    return embedded(spark, sf).where("id % 100 = 0")
 
 
 EMB = """e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), u AS (SELECT id, label, list_transform(x, lambda q: q / sqrt(list_dot_product(x, x))) AS z FROM e),
-p AS (SELECT label, i, avg(z[i]) AS m FROM u, range(1, 65) r(i) WHERE id % 2 = 0 GROUP BY 1, 2), c0 AS (SELECT label AS proto, list(m ORDER BY i) AS m FROM p GROUP BY 1), c AS (SELECT proto, list_transform(m, lambda q: q / sqrt(list_dot_product(m, m))) AS vec FROM c0),
-j AS (SELECT u.id, u.label, proto, list_dot_product(z, vec) AS cosine FROM u, c WHERE u.id % 2 = 1)"""
+p AS (SELECT label, i, avg(z[i]) AS m FROM u, range(1, 65) r(i) GROUP BY 1, 2), c0 AS (SELECT label AS proto, list(m ORDER BY i) AS m FROM p GROUP BY 1), c AS (SELECT proto, list_transform(m, lambda q: q / sqrt(list_dot_product(m, m))) AS vec FROM c0),
+j AS (SELECT u.id, u.label, proto, list_dot_product(z, vec) AS cosine FROM u, c)"""
 
 
 @query("centroid", f"WITH {EMB} SELECT proto AS label, round(vec[1], 6) AS first, round(vec[64], 6) AS last FROM c")
@@ -42,7 +43,7 @@ def centroid(spark, sf):
 
 def gate_scores(spark: SparkSession, sf: str) -> DataFrame:
     clean = similarity.centroids(references(spark, sf).where("label = 0"), [], "embedding").select(F.lit(0).alias("proto"), "vec")
-    joined = similarity.cosine_join(asked(spark, sf), clean, "embedding")
+    joined = similarity.cosine_join(embedded(spark, sf), clean, "embedding")
     return joined.select("id", (F.col("label") != 0).cast("int").alias("y"), (1 - F.col("cosine")).alias("s"))
 
 
@@ -54,17 +55,17 @@ def centroid_gate(spark, sf):
 @query("cosine_join", f"WITH {EMB} SELECT id, proto, round(cosine, 6) AS cosine FROM j")
 def cosine_join(spark, sf):
     prototypes = similarity.centroids(references(spark, sf), ["label"], "embedding").select(F.col("label").alias("proto"), "vec")
-    return similarity.cosine_join(asked(spark, sf), prototypes, "embedding").select("id", "proto", F.round("cosine", 6).alias("cosine"))
+    return similarity.cosine_join(embedded(spark, sf), prototypes, "embedding").select("id", "proto", F.round("cosine", 6).alias("cosine"))
 
 
 @query("nearest_centroid", f"WITH {EMB} SELECT id, label, proto, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, proto) AS r FROM j) WHERE r = 1")
 def nearest_centroid(spark, sf):
     prototypes = similarity.centroids(references(spark, sf), ["label"], "embedding").select(F.col("label").alias("proto"), "vec")
-    joined = similarity.cosine_join(asked(spark, sf), prototypes, "embedding")
+    joined = similarity.cosine_join(embedded(spark, sf), prototypes, "embedding")
     return similarity.nearest_prototype(joined, "id", "proto", ["label"]).withColumn("cosine", F.round("cosine", 6))
 
 
-KNN = "k AS (SELECT a.id AS q_id, b.label AS class, b.id AS r_id, list_dot_product(a.z, b.z) AS cosine FROM u a, u b WHERE a.id % 2 = 1 AND b.id % 2 = 0)"
+KNN = "k AS (SELECT a.id AS q_id, b.label AS class, b.id AS r_id, list_dot_product(a.z, b.z) AS cosine FROM u a, u b WHERE a.id % 100 = 0 AND a.id <> b.id)"
 
 
 @query("knn_join", f"WITH {EMB}, {KNN} SELECT q_id, r_id, round(cosine, 6) AS cosine, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(cosine, 12) DESC, r_id) AS r FROM k) WHERE r <= 5")
@@ -87,7 +88,7 @@ def knn_category(spark, sf):
 @query("two_stage", f"WITH {EMB}, g AS (SELECT id, 1 - cosine AS s FROM j WHERE proto = 0), b AS (SELECT id, proto FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, proto) AS r FROM j WHERE proto <> 0) WHERE r = 1) SELECT id, CASE WHEN s > 0.95 THEN proto ELSE 0 END AS decision FROM g JOIN b USING (id)")
 def two_stage(spark, sf):
     prototypes = similarity.centroids(references(spark, sf), ["label"], "embedding").select(F.col("label").alias("proto"), "vec")
-    errors = similarity.cosine_join(asked(spark, sf), prototypes.where("proto <> 0"), "embedding")
+    errors = similarity.cosine_join(embedded(spark, sf), prototypes.where("proto <> 0"), "embedding")
     named = similarity.nearest_prototype(errors, "id", "proto", []).select("id", "proto")
     return gate_scores(spark, sf).join(named, "id").select("id", F.when(F.col("s") > 0.95, F.col("proto")).otherwise(0).alias("decision"))
 
@@ -127,10 +128,10 @@ def kmeans_prototypes(spark, sf):
 
 @query("logreg_fusion")
 def logreg_fusion(spark, sf):
-    """Fused probabilities from coefficients fitted on half of the scored rows."""
+    """Fused probabilities of the rows that the coefficients were fitted on."""
     rows = scored(spark, sf).withColumn("aux", F.col("k") / F.lit(100.0))
-    (c0, c1), bias = decide.logistic_fit(rows.where("id % 2 = 0"), ["s", "aux"], "y")
-    return rows.where("id % 2 = 1").select("id", "y", F.round(decide.fused(F.col("s"), F.col("aux"), c0, c1, bias), 6).alias("p"))
+    (c0, c1), bias = decide.logistic_fit(rows, ["s", "aux"], "y")
+    return rows.select("id", "y", F.round(decide.fused(F.col("s"), F.col("aux"), c0, c1, bias), 6).alias("p"))
 
 
 @query("head_out_of_fold")
@@ -141,8 +142,8 @@ def head_out_of_fold(spark, sf):
     return scored_rows.select("id", "class", "fold", F.round("aux_err", 6).alias("aux_err"))
 
 
-PATCH = """d AS (SELECT q_id, sqrt(greatest(2 - 2 * max(cosine), 0)) AS distance FROM (SELECT a.id AS q_id, list_dot_product(a.z, b.z) AS cosine FROM u a, u b WHERE a.id % 2 = 1 AND b.id % 2 = 0 AND b.label = 0) GROUP BY 1),
-o AS (SELECT sqrt(greatest(2 - 2 * max(list_dot_product(a.z, b.z)), 0)) AS distance FROM u a, u b WHERE a.id % 2 = 0 AND b.id % 2 = 0 AND a.label = 0 AND b.label = 0 AND a.id <> b.id GROUP BY a.id),
+PATCH = """d AS (SELECT q_id, sqrt(greatest(2 - 2 * max(cosine), 0)) AS distance FROM (SELECT a.id AS q_id, list_dot_product(a.z, b.z) AS cosine FROM u a, u b WHERE a.id % 100 = 0 AND a.id <> b.id AND b.label = 0) GROUP BY 1),
+o AS (SELECT sqrt(greatest(2 - 2 * max(list_dot_product(a.z, b.z)), 0)) AS distance FROM u a, u b WHERE a.label = 0 AND b.label = 0 AND a.id <> b.id GROUP BY a.id),
 cal AS (SELECT quantile_cont(distance, 0.5) AS p50, quantile_cont(distance, 0.995) AS p995 FROM o), sc AS (SELECT q_id, least(greatest((distance - p50) / (p995 - p50), 0), 1) AS score FROM d, cal)"""
 
 

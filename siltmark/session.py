@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltmark.guard import guarded
+
 
 def build_session(app: str = "siltmark", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the library is tested under: UTC, ANSI, AQE, Arrow."""
@@ -26,19 +28,24 @@ def build_session(app: str = "siltmark", master: str | None = None, **conf: obje
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; columns and filters are pruned into the scan by Catalyst."""
+    guarded(name)  # tables of held-out splits are locked, whatever folder they lie in
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's `spark.checkpoint.dir`, else a folder of our own.
 
-    The fallback is only for sessions that name no shared folder (tests, a laptop).
+    The fallback is for local sessions that name no shared folder (tests, a laptop); elsewhere a missing
+    folder is an error, because executors do not share a temporary one.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    wanted = context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="siltmark-checkpoint-")
+    wanted = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not wanted and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    wanted = wanted or tempfile.mkdtemp(prefix="siltmark-checkpoint-")
     context.setCheckpointDir(wanted)
     return wanted
 

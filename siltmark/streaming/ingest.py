@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-KEPT = "phash long, id long, kept boolean, nearest int"
 
+from siltmark.operators.components import greedy_hashes
 
 def landed(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of the parquet files that land in a folder."""
@@ -27,38 +24,23 @@ def sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> Data
     return stream.withWatermark(ts, delay).groupBy(window, key).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")).select(key, "n", "first_ts", "last_ts")
 
 
-def greedy_keep(hashes: list[int], kept: list[int], radius: int) -> list[tuple[bool, int]]:
-    """(kept, distance to the nearest kept one) in order: keep what no kept hash lies within the radius of."""
-    out = []
-    for h in hashes:
-        nearest = min(((h ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() for k in kept) if kept else 65
-        keep = nearest > radius
-        if keep:
-            kept.append(h)
-        out.append((keep, nearest))
-    return out
-
+def perceptual_dedup(stream: DataFrame, radius: int, folder: str) -> DataFrame:
+    """(id, phash, kept) of what has landed: greedy deduplication against all hashes kept so far, whatever their source.
 
-def perceptual_dedup(stream: DataFrame, radius: int, key: str = "source", most_kept: int = 100_000) -> DataFrame:
-    """Order-dependent greedy deduplication of perceptual hashes, with the kept hashes as state per key.
-
-    The state of a key is bounded by `most_kept`; beyond it the query fails instead of forgetting.
-    Null hashes are kept. Rows of a micro-batch come in the order of their id.
+    Every micro-batch meets the kept hashes of the earlier ones in a join and then itself, in the order of its
+    ids; no task holds all kept hashes. Batches write under their number, so one that runs twice leaves the same files.
+    Null hashes are kept.
     """
+    spark, out = stream.sparkSession, f"{folder}/kept"
+    schema = "id long, phash long, kept boolean, batch long"
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(out).where(F.col("kept") & (F.col("batch") < number)).select("phash") if number else None
+        found = greedy_hashes(batch.select("id", "phash"), "id", "phash", radius, before)
+        found.select("id", "phash", "kept").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("id")
-        known = rows[rows.phash.notna()]
-        found = greedy_keep([int(h) for h in known.phash], kept, radius)
-        if len(kept) > most_kept:
-            raise ValueError(f"more than {most_kept} kept hashes for one key")
-        state.update((kept,))
-        out = known[["phash", "id"]].assign(kept=[k for k, _ in found], nearest=[d for _, d in found])
-        lost = rows[rows.phash.isna()][["phash", "id"]].assign(kept=True, nearest=65)
-        yield pd.concat([out, lost]).astype({"phash": "Int64", "id": "int64", "nearest": "int32"})
-
-    return stream.groupBy(key).applyInPandasWithState(step, KEPT, "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    each_batch(stream, folder, step)
+    return spark.read.schema(schema).parquet(out).select("id", "phash", "kept")
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -79,7 +79,7 @@ def test_bootstrap_is_resampling(spark):
     r = random.Random(5)
     rows = [(f"g{r.randrange(9)}", r.randrange(2), r.randrange(12) / 12) for _ in range(150)]
     df = spark.createDataFrame(rows, "g string, y int, s double")
-    got = {x.rep: x.auroc for x in bootstrap.replicates(df, "g", bootstrap.multiplicities(df, "g", 12)).collect()}
+    got = {x.rep: x.auroc for x in bootstrap.replicates(df, "g", bootstrap.multiplicities(df, "g", 12), 12).collect()}
     names, rng = sorted({g for g, *_ in rows}), np.random.default_rng(0)
     for rep in range(12):
         drawn = [names[i] for i in rng.choice(len(names), size=len(names), replace=True)]

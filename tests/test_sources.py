@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltmark.functions import imaging, layouts, regions
-from siltmark.operators import training
-from siltmark.sources import readers
+from siltmark.operators import components, training
+from siltmark.sources import readers, sinks
 from siltmark.streaming import ingest
 
 
@@ -63,9 +63,9 @@ def test_manifests_round_trip(spark, tmp_path):
     assert [r.h for r in rows.select(readers.unsigned_hash(F.col("phash")).alias("h")).collect()] == [-1, -(1 << 63)]
     only = readers.reconcile(rows.select("path"), rows.limit(1).select("path").union(spark.createDataFrame([("z",)], "path string")), "path")
     assert {(r.path, r.only_in) for r in only.collect()} == {("c\nd.png", "manifest"), ("z", "files")}
-    assert readers.publish(rows, str(tmp_path / "v"), "1").endswith("version=1")
+    assert sinks.publish(rows, str(tmp_path / "v"), "1").endswith("version=1")
     with pytest.raises(Exception):
-        readers.publish(rows, str(tmp_path / "v"), "1")
+        sinks.publish(rows, str(tmp_path / "v"), "1")
 
 
 def test_png_round_trip_and_filters():
@@ -217,16 +217,91 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "a"), (2, 0b111, "a"), (3, (1 << 40) - 1, "a"), (4, None, "a"), (5, 0, "b"), (6, 1, "b")], "id long, phash long, source string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = ingest.landed(spark, str(tmp_path / "in"), rows.schema)
-    out = {r.id: r.kept for r in ingest.run_available(ingest.perceptual_dedup(stream, 2), str(tmp_path / "w")).collect()}
-    assert out == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False}
-    spark.createDataFrame([(7, 3, "a")], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    again = ingest.run_available(ingest.perceptual_dedup(stream, 2), str(tmp_path / "w")).collect()
-    assert {r.id: r.kept for r in again if r.id == 7} == {7: False} and len(again) == 7
+    out = {r.id: r.kept for r in ingest.perceptual_dedup(stream, 2, str(tmp_path / "w")).collect()}
+    assert out == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False}  # whatever the source
+    spark.createDataFrame([(7, 3, "a"), (8, 63 << 50, "a")], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = ingest.perceptual_dedup(stream, 2, str(tmp_path / "w")).collect()
+    assert {r.id: r.kept for r in again if r.id > 6} == {7: False, 8: True} and len(again) == 8
     seen = []
     ingest.each_batch(stream, str(tmp_path / "each"), lambda df, i: seen.append(df.count()))
-    assert sum(seen) == 7
-
-
-def test_greedy_dedup_is_order_dependent():
-    assert [k for k, _ in ingest.greedy_keep([0b0000, 0b0011, 0b1111], [], 2)] == [True, False, True]
-    assert [k for k, _ in ingest.greedy_keep([0b0011, 0b0000, 0b1111], [], 2)] == [True, False, False]
+    assert sum(seen) == 8
+
+
+def test_greedy_dedup_is_order_dependent(spark):
+    def kept(hashes):
+        rows = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
+        return [r.kept for r in components.greedy_hashes(rows, "id", "h", 2).orderBy("id").collect()]
+
+    def one_by_one(hashes):
+        have, out = [], []
+        for h in hashes:
+            out.append(h is None or all(((h ^ k) & ((1 << 64) - 1)).bit_count() > 2 for k in have))
+            have += [h] if out[-1] and h is not None else []
+        return out
+
+    assert kept([0b0000, 0b0011, 0b1111]) == [True, False, True]
+    assert kept([0b0011, 0b0000, 0b1111]) == [True, False, False]
+    rng = np.random.default_rng(3)
+    many = [int(h) - (1 << 63) if rng.random() < 0.9 else None for h in rng.integers(0, 512, 200)]
+    assert kept(many) == one_by_one(many) and kept([]) == []
+
+
+def test_versions(spark, tmp_path):
+    rows = spark.range(5)
+    folder = str(tmp_path / "v")
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, folder)
+    sinks.publish_checked(rows, folder, "a", {"rows": lambda df: df.count() == 5})
+    sinks.publish_checked(spark.range(7), folder, "b", {})
+    assert sinks.current(spark, folder).count() == 7
+    with pytest.raises(ValueError, match="rows"):
+        sinks.publish_checked(spark.range(3), folder, "c", {"rows": lambda df: df.count() == 5})
+    assert sinks.current(spark, folder).count() == 7
+    assert sinks.roll_back(spark, folder) == "a" and sinks.current(spark, folder).count() == 5
+
+
+def test_scans_and_packages(spark, tmp_path):
+    png = bytearray(imaging.encode_png(screen()))
+    rows = [("train", "real", "clean", "Screenshot_20240101_100000_Maps.png", png), ("train", "real", "clean", "Screenshot_20240101_100200_Maps.png", png), ("val", "real", "overlay", "IKSWW-7_maps.png", png), ("val", "synthetic", "overlay", "a__b__overlay__v0.png", png)]
+    images = spark.createDataFrame(rows, "split string, source string, category string, name string, content binary")
+    tree = str(tmp_path / "tree")
+    manifest = sinks.export_class_tree(images, tree).cache()
+    assert manifest.count() == 4
+    found = {r.name: r for r in readers.scan_dataset(spark, tree).collect()}
+    assert found["IKSWW-7_maps.png"].group == "IKSWW-7" and found["IKSWW-7_maps.png"].label == 1
+    assert found["Screenshot_20240101_100200_Maps.png"].group == found["Screenshot_20240101_100000_Maps.png"].group == "session:Screenshot_20240101_100000_Maps.png"
+    assert (found["a__b__overlay__v0.png"].parent, found["a__b__overlay__v0.png"].applied) == ("a__b", "overlay")
+    tar = sinks.package(spark, tree, manifest, str(tmp_path / "set.tar"))
+    assert sum(1 for _ in open(f"{tree}/SHA256SUMS")) == 4 and __import__("tarfile").open(tar).getnames()
+    with pytest.raises(ValueError, match="gone.png"):
+        sinks.package(spark, tree, manifest.select("path").union(spark.createDataFrame([("gone.png",)], "path string")), str(tmp_path / "bad.tar"))
+    counts = sinks.embed_and_persist(images, sinks.GridEmbedder(4), str(tmp_path / "emb"), ["split", "source", "category", "name"])
+    assert {(r.split, r.source): r.n for r in counts.collect()} == {("train", "real"): 2, ("val", "real"): 1, ("val", "synthetic"): 1}
+    flat = tmp_path / "flat"
+    (flat / "train" / "real").mkdir(parents=True)
+    (flat / "train" / "real" / "a.png").write_bytes(png)
+    (flat / "labels.csv").write_text("path,split,source,category,category_id,label,group,form_factor,orientation,kind,is_competitor,has_boundbox\ntrain/real/a.png,train,real,clean,0,0,IKSWW_7,,,,,\ntrain/real/gone.png,train,real,clean,0,0,x,,,,,\n")
+    (row,) = readers.scan_dataset(spark, str(flat)).collect()
+    assert (row.path, row.group) == ("train/real/a.png", "iksww-7")
+    classes = tmp_path / "classes"
+    for name in ("no_erros", "errors_dataset", "with_errors"):
+        (classes / name).mkdir(parents=True)
+        (classes / name / f"{name}.png").write_bytes(png)
+    assert {(r["class"], r.label) for r in readers.scan_classes(spark, str(classes), "with_errors").collect()} == {("no_erros", 0), ("with_errors", 1)}
+    labels = spark.createDataFrame([("a", "train", 1), ("b", "train", 0), ("c", "val", 1)], "path string, split string, label int")
+    sizes = spark.createDataFrame([("a", 100, 200), ("b", 1, 1), ("c", 1, 1)], "path string, w int, h int")
+    assert [tuple(r) for r in readers.error_aspects(labels, sizes).collect()] == [("a", 0.5)]
+    grid = sinks.write_grid([{"k": 1, "score": 0.5}, {"k": 2, "score": float("nan")}, {"k": 3, "score": 0.9}], str(tmp_path / "grid"), spark)
+    assert [r.k for r in grid.collect()] == [3, 1, 2]
+
+
+def test_tables_of_held_out_splits_are_locked(spark, tmp_path):
+    from siltmark.session import table
+
+    spark.range(1).write.parquet(str(tmp_path / "test_labels.parquet"))
+    with pytest.raises(readers.HeldOutAccessError):
+        table(spark, str(tmp_path), "test_labels")
+    with pytest.raises(readers.HeldOutAccessError):
+        readers.scan_files(spark, str(tmp_path / "test"))
+    with readers.LOCK:
+        assert table(spark, str(tmp_path), "test_labels").count() == 1
