@@ -36,8 +36,9 @@ TARGET = 8192
 CELL_ROWS = 200
 MOST_CENTROIDS = 1024
 PART_ROWS = 32768
-#: Queries that a task answers, about.
-QUERY_ROWS = 16384
+#: Queries that a task answers, about, and vectors of the sample whose visits are counted per such task.
+QUERY_ROWS, VISITS = 16384, 16
+LEAST_VISITORS = 1024
 #: Entries of a leaf of a hot bin, about; a leaf is fitted on at least LEAF_SAMPLE vectors.
 LEAF_ROWS = 4096
 LEAF_SAMPLE = 4
@@ -259,9 +260,11 @@ def build_index(spark: SparkSession, vectors: DataFrame, target: int | None = No
         visits = [key for r in range(len(u)) for key in index.visited(u[r], d1[r], d2[r], target)]
         return pa.record_batch([pa.array(c, pa.int32()) for c in zip(*visits)], names=["bin", "leaf"])
 
-    visits = sampled.mapInArrow(reader(visit), "bin int, leaf int").groupBy("bin", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per bin or leaf
+    wanted = min(len(sample), max(LEAST_VISITORS, VISITS * rows // QUERY_ROWS))
+    visitors = sampled.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(len(sample))) < wanted)
+    visits = visitors.mapInArrow(reader(visit), "bin int, leaf int").groupBy("bin", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per bin or leaf
     shared.unpersist()
-    index.chunks = {(r.bin, r.leaf): math.ceil(r.n * rows / len(sample) / QUERY_ROWS) for r in visits}
+    index.chunks = {(r.bin, r.leaf): math.ceil(r.n * rows / wanted / QUERY_ROWS) for r in visits}
     return index
 
 
