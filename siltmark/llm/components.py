@@ -73,3 +73,18 @@ def random_mate_components(edges: DataFrame) -> DataFrame:
             break
         found = found.join(onward, "p", "left").select("u", F.coalesce("next", "p").alias("p"))
     return nodes.join(found.select(F.col("u").alias("node"), "p"), "node", "left").select("node", F.coalesce("p", "node").alias("root"))
+
+
+#: A key with more than this part of all rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with a table of one row per key, however many rows a key has.
+
+    The few keys that hold much of `rows` are sent to where their rows are; the rest is shuffled.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_SHARE * rows.count()).select(key)
+    hot = F.broadcast(cut_lineage(hot))  # at most 1 / HOT_SHARE rows
+    here = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(here, key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))

@@ -19,8 +19,8 @@ import xxhash
 from siltmark.llm.records import records
 from siltmark.session import cut_lineage
 
-#: 14 bands of 2 rows: a pair of similarity 0.5 is missed with probability 0.018, one of 0.8 with 6e-7.
-BANDS, ROWS = 14, 2
+#: 24 bands of 2 rows: a pair of similarity 0.4 is missed with probability 0.015, one of 0.5 with 0.001.
+BANDS, ROWS = 24, 2
 #: One or two typing errors in short words cost up to half of the letter triples.
 SIMILARITY = 0.4
 EVAL_SPLITS = ("val", "test")

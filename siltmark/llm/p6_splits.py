@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from siltmark.llm.components import random_mate_components
+from siltmark.llm.components import join_hot, random_mate_components
 from siltmark.llm.records import records
 from siltmark.session import cut_lineage
 
@@ -34,9 +34,9 @@ def related_sets(found: DataFrame) -> DataFrame:
     hung = cut_lineage(hung.select("sample_id", "split", "source", F.coalesce(hub, F.concat(F.lit("s:"), F.col("sample_id").cast("string"))).alias("node"), F.when(F.col("is_real") & F.col("has_derived"), F.col("i")).alias("i")))
     edges = hung.where(F.col("i").isNotNull() & (F.col("i") != F.col("node"))).select(F.col("node").alias("u"), F.col("i").alias("v")).distinct()
     roots = random_mate_components(edges)
-    placed = hung.join(roots, "node", "left").select("sample_id", "split", "source", F.coalesce("root", "node").alias("root"))
+    placed = cut_lineage(join_hot(hung, roots, "node", "left").select("sample_id", "split", "source", F.coalesce("root", "node").alias("root")))
     first = placed.groupBy("root").agg(F.min("sample_id").alias("first_id"))
-    return placed.join(first, "root").select("sample_id", "split", "source", "first_id")
+    return join_hot(placed, first, "root").select("sample_id", "split", "source", "first_id")
 
 
 def divided_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def assign_splits(sets: DataFrame, shares: dict[str, float] = SHARES) -> DataFra
     spark = sets.sparkSession
     chosen = placed.select("first_id", F.coalesce(split, F.lit(list(shares)[-1])).alias("split"))
     chosen = chosen.unionByName(spark.createDataFrame(large, "first_id long, split string"))
-    return sets.select("sample_id", "first_id").join(chosen, "first_id").select("sample_id", "first_id", "split")
+    return join_hot(sets.select("sample_id", "first_id"), chosen, "first_id").select("sample_id", "first_id", "split")
 
 
 def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from siltmark.llm import components
 from siltmark.llm.components import random_mate_components
 
 
@@ -41,3 +42,13 @@ def test_against_union_find(spark, edges):
 def test_empty(spark):
     assert random_mate_components(spark.createDataFrame([], "u string, v string")).count() == 0
     assert random_mate_components(spark.createDataFrame([(None, "a"), ("b", None)], "u string, v string")).count() == 0
+
+
+def test_hot_keys_join_without_a_shuffle_of_their_rows(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id < 1500, 'hot', concat('k', id)) AS k")
+    table = rows.select("k").distinct().selectExpr("k", "length(k) AS n").where("k <> 'k2000'")
+    for how in ("inner", "left"):
+        got = sorted(tuple(r) for r in components.join_hot(rows, table, "k", how).select("id", "n").collect())
+        assert got == sorted(tuple(r) for r in rows.join(table, "k", how).select("id", "n").collect())
+    empty = rows.where("false")
+    assert components.join_hot(empty, table, "k").count() == 0
