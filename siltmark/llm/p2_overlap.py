@@ -71,12 +71,17 @@ def name_overlaps(found: DataFrame) -> DataFrame:
     """
     usable = found.where(F.col("gate").isNotNull() & F.col("split").isin("train", *EVAL_SPLITS))
     named = usable.groupBy("gate", "raw", "words").agg(F.max((F.col("split") == "train").cast("int")).alias("in_train"), F.max((F.col("split") != "train").cast("int")).alias("in_eval"))
-    banded = cut_lineage(named.withColumn("key", F.explode(F.concat(band_keys("gate", "raw"), F.array(F.xxhash64("gate", "words"))))))
-    left = banded.where("in_train = 1").select("key", F.struct(F.col("gate").alias("g"), F.col("raw").alias("r"), F.col("words").alias("w")).alias("t"))
-    right = banded.where("in_eval = 1").select("key", F.struct(F.col("gate").alias("g"), F.col("raw").alias("r"), F.col("words").alias("w")).alias("e"))
-    pairs = left.join(right, "key").where(F.col("t.g") == F.col("e.g")).select("t", "e").distinct()
-    scored = pairs.withColumn("similarity", jaccard("t.g", "t.r", "e.g", "e.r")).where((F.col("similarity") >= SIMILARITY) | (F.col("t.w") == F.col("e.w")))
-    return scored.select(F.col("t.g").alias("gate"), F.col("t.r").alias("train_raw"), F.col("t.w").alias("train_words"), F.col("e.r").alias("eval_raw"), F.col("e.w").alias("eval_words"), "similarity")
+    named = cut_lineage(named.withColumn("name_id", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    # buckets hold numbers only; names meet again when the candidates are known
+    banded = cut_lineage(named.select("name_id", "in_train", "in_eval", F.explode(F.concat(band_keys("gate", "raw"), F.array(F.xxhash64("gate", "words")))).alias("key")))
+    left = banded.where("in_train = 1").select("key", F.col("name_id").alias("t"))
+    right = banded.where("in_eval = 1").select("key", F.col("name_id").alias("e"))
+    pairs = left.join(right, "key").select("t", "e").distinct()
+    trains = named.where("in_train = 1").select(F.col("name_id").alias("t"), "gate", F.col("raw").alias("train_raw"), F.col("words").alias("train_words"))
+    evals = named.where("in_eval = 1").select(F.col("name_id").alias("e"), F.col("gate").alias("eval_gate"), F.col("raw").alias("eval_raw"), F.col("words").alias("eval_words"))
+    both = pairs.join(trains, "t").join(evals, "e").where(F.col("gate") == F.col("eval_gate"))
+    scored = both.withColumn("similarity", jaccard("gate", "train_raw", "eval_gate", "eval_raw")).where((F.col("similarity") >= SIMILARITY) | (F.col("train_words") == F.col("eval_words")))
+    return scored.select("gate", "train_raw", "train_words", "eval_raw", "eval_words", "similarity")
 
 
 def same_image_pairs(found: DataFrame) -> DataFrame:
