@@ -42,6 +42,8 @@ LEAST_VISITORS = 1024
 #: Entries of a leaf of a hot bin, about; a leaf is fitted on at least LEAF_SAMPLE vectors.
 LEAF_ROWS = 4096
 LEAF_SAMPLE = 4
+#: The last part of what a query visits: one of FRONTIER.
+FRONTIER = 4
 #: Of equal vectors at most this many ids, the smallest, are kept as entries of a part.
 SAME = 6
 
@@ -163,8 +165,12 @@ class MultiIndex:
         one = [np.einsum("ij,ij->i", p, p)[:, None] + np.einsum("ij,ij->i", c, c)[None] - 2 * p @ c.T for p, c in ((x[:, :h], self.first), (x[:, h:], self.second))]
         return np.maximum(one[0], 0), np.maximum(one[1], 0)
 
-    def visited(self, x: np.ndarray, d1: np.ndarray, d2: np.ndarray, target: int) -> dict[tuple[int, int], list[int]]:
-        """Cells by summed distance until they hold `target` directions: (first centroid, leaf) -> second ones."""
+    def visited(self, x: np.ndarray, d1: np.ndarray, d2: np.ndarray, target: int, mark: bool = False) -> dict[tuple[int, int], list[int]]:
+        """Cells by summed distance until they hold `target` directions: (first centroid, leaf) -> second ones.
+
+        With `mark` the cells that reach into the FRONTIER, the last directions visited, come as ~second.
+        """
+        frontier = target - target // FRONTIER if mark else target
         order = [a for a in np.argsort(d1, kind="stable").tolist() if a in self.filled]
         least = float(d2.min())
         heap: list[tuple[float, int, int]] = []
@@ -188,7 +194,7 @@ class MultiIndex:
                 nearest[a] = np.argsort(np.einsum("ij,ij->i", c, c) - 2 * c @ x, kind="stable").tolist()
             for leaf in nearest.get(a, (0,)):
                 if held < target and (n := self.bin_of(a)[1].get((b, leaf))):
-                    out.setdefault((a, leaf), []).append(b)
+                    out.setdefault((a, leaf), []).append(b if held + n <= frontier else ~b)
                     held += n
             if i + 1 < len(rows[a]):
                 heapq.heappush(heap, (float(d1[a] + d2[rows[a][i + 1]]), a, i + 1))
@@ -252,6 +258,12 @@ def build_index(spark: SparkSession, vectors: DataFrame, target: int | None = No
     names = [(o >> 20, o & 0xFFFFF) for o in of.tolist()]
     whole = np.bincount(at, entries, len(of)) if len(of) else none
     index = MultiIndex(first, second, bare.leaves, cell, held, {key: math.ceil(n / PART_ROWS) for key, n in zip(names, whole.tolist())}, {})
+    index.chunks = chunks_of(spark, vectors, rows, index, target)
+    return index
+
+
+def chunks_of(spark: SparkSession, asking: DataFrame, rows: int, index: MultiIndex, target: int) -> dict[tuple[int, int], int]:
+    """Chunks that `asking` vectors, about `rows`, need in every bin or leaf, from the visits of some of them."""
     shared = spark.sparkContext.broadcast(index)
 
     def visit(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -260,17 +272,18 @@ def build_index(spark: SparkSession, vectors: DataFrame, target: int | None = No
         visits = [key for r in range(len(u)) for key in index.visited(u[r], d1[r], d2[r], target)]
         return pa.record_batch([pa.array(c, pa.int32()) for c in zip(*visits)], names=["bin", "leaf"])
 
-    wanted = min(len(sample), max(LEAST_VISITORS, VISITS * rows // QUERY_ROWS))
-    visitors = sampled.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(len(sample))) < wanted)
+    wanted = min(rows, SAMPLE_ROWS, max(LEAST_VISITORS, VISITS * rows // QUERY_ROWS))
+    visitors = asking.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * wanted / max(rows, 1)))
     visits = visitors.mapInArrow(reader(visit), "bin int, leaf int").groupBy("bin", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per bin or leaf
     shared.unpersist()
-    index.chunks = {(r.bin, r.leaf): math.ceil(r.n * rows / wanted / QUERY_ROWS) for r in visits}
-    return index
+    return {(r.bin, r.leaf): math.ceil(r.n * rows / wanted / QUERY_ROWS) for r in visits}
 
 
-def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int) -> DataFrame:
+def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int, roles: tuple[str, ...] = ("entry", "asks"), mark: bool = False) -> DataFrame:
     """One row per vector and task that needs it (schema SENT); equal vectors of a batch travel as one row.
 
+    `roles`: vectors go where they are entries, where they ask, or both; `mark`: see `visited`.
+
     A task is named by the TASK columns. `cells` are the second centroids visited in the bin, the home
     cell first; `entry` marks the tasks that the vector is an entry of, `asks` those it is a query of.
     """
@@ -290,18 +303,19 @@ def send(spark: SparkSession, vectors: DataFrame, index: MultiIndex, target: int
         for r, (data, members) in enumerate(groups.items()):
             key = xxhash.xxh64_intdigest(data)
             own = sorted(ids[members].tolist())
-            visits = index.visited(u[r], d1[r], d2[r], target)
             home, b = (int(home1[r]), int(leaves[r])), int(home2[r])
-            visits[home] = [b, *(c for c in visits.get(home, ()) if c != b)]
+            visits = index.visited(u[r], d1[r], d2[r], target, mark) if "asks" in roles else {}
+            if "entry" in roles or home in visits:
+                visits[home] = [b, *(c for c in visits.get(home, ()) if c != b)]
             for (bin_, leaf), cells in visits.items():
                 parts, chunks = index.parts[bin_, leaf], index.chunks.get((bin_, leaf), 1)
                 part, chunk = key % parts, (key >> 32) % chunks
                 # queries meet all parts in one chunk, entries meet all chunks in one part
-                needed = [(p, chunk) for p in range(parts)]
-                if (bin_, leaf) == home:
-                    needed += [(part, c) for c in range(chunks) if c != chunk]
-                for p, c in needed:
-                    for column, value in zip(columns, (bin_, leaf, p, c, (bin_, leaf) == home and p == part, c == chunk, cells, own, data)):
+                entry = "entry" in roles and (bin_, leaf) == home
+                needed = {(p, chunk) for p in range(parts)} if "asks" in roles else set()
+                needed |= {(part, c) for c in range(chunks)} if entry else set()
+                for p, c in sorted(needed):
+                    for column, value in zip(columns, (bin_, leaf, p, c, entry and p == part, "asks" in roles and c == chunk, cells, own, data)):
                         column.append(value)
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SENT_ARROW.types)], schema=_SENT_ARROW)
 

@@ -1,151 +1,31 @@
-"""Links of all pairs of vectors with a cosine of at least SIMILAR, without a cap on how many a vector has.
+"""Links between vectors with a cosine of at least SIMILAR, without a cap on how many a vector has.
 
-Vectors lie in leaves of one codebook; consecutive leaves are packed into blocks of about BLOCK_ROWS
-distinct vectors, and a leaf with more is cut by the hash of the vector. Every pair of blocks is a task.
-A vector goes to the tasks of its own block, but for those whose other block has no leaf near enough:
-distance to the leaf's centroid, minus the radius of the leaf, above the distance at SIMILAR. Nothing
-similar is lost; where no leaf is far enough away, the work is the square of the distinct vectors.
+Every vector asks the multi-index (see `multi_index`) for the TARGET directions nearest to it by cells. One
+that still finds something similar in the last cells it visits, as in a crowd of more than TARGET similar
+vectors, asks again for WIDER times as many, and so on until its last cells hold nothing similar or
+everything was visited. So the traversal ends by what is found, and not by a count. Nearest cells may
+leave out a pair; recall is measured against brute force (see the README).
 
-In a task a cosine is first bounded from the HEAD strongest directions of the sample plus the product of
-the lengths of the rest, in one matrix product; only what the bound leaves open is computed in full. A
-task writes a spanning forest of its links, so pairs inside a set are never written.
+A task writes a spanning forest of its links, so pairs inside a set are never written.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltmark.llm import multi_index as mi
 from siltmark.session import cut_lineage
 
 SIMILAR = 0.80
-#: Distinct vectors of a block, about; a task holds two blocks.
-BLOCK_ROWS = 50000
-LEAVES_PER_BLOCK, MOST_LEAVES = 16, 4096
-HEAD = 96
-ROWS, COLUMNS = 1024, 2048
-#: What single precision is off by, at most, in a bound or cosine.
+WIDER = 8
+#: What single precision is off by, at most, in a cosine.
 SLACK = 6e-5
-#: A share of open pairs from which a whole product is cheaper than pair by pair.
-DENSE = 0.01
-
-SENT = "low int, high int, of int, ids array<long>, payload binary"
-_SENT = pa.schema([*((c, pa.int32()) for c in ("low", "high", "of")), ("ids", pa.list_(pa.int64())), ("payload", pa.binary())])
-EDGES = "u long, v long"
-_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
-@dataclass
-class Blocks:
-    """Leaf centroids and radii, the first block and the number of blocks of each leaf, and the basis of the bound."""
-
-    centres: np.ndarray
-    radius: np.ndarray
-    first: np.ndarray
-    parts: np.ndarray
-    basis: np.ndarray
-
-    def distances(self, u: np.ndarray) -> np.ndarray:
-        c = self.centres
-        return np.sqrt(np.maximum(np.einsum("ij,ij->i", u, u)[:, None] + np.einsum("ij,ij->i", c, c)[None] - 2 * u @ c.T, 0))
-
-    def reached(self, distances: np.ndarray) -> np.ndarray:
-        """(vector, leaf): may the leaf hold something similar? The slack covers single precision near a distance of 0."""
-        return distances - self.radius[None] <= math.sqrt(2 - 2 * SIMILAR) + 1e-2
-
-
-def _chain(c: np.ndarray) -> np.ndarray:
-    """The rows of c, each followed by the nearest that is left."""
-    order, left = [0], np.ones(len(c), dtype=bool)
-    left[0] = False
-    for _ in range(len(c) - 1):
-        d = np.where(left, ((c - c[order[-1]]) ** 2).sum(axis=1), np.inf)
-        order.append(int(d.argmin()))
-        left[order[-1]] = False
-    return np.array(order)
-
-
-def build_blocks(spark: SparkSession, vectors: DataFrame) -> Blocks:
-    """Codebook and basis from a bounded sample in hash order, sizes and radii of leaves from all usable vectors."""
-    rows = vectors.count()
-    threshold = min(1 << 30, int((1 << 30) * mi.SAMPLE_ROWS / max(rows, 1)))
-    sampled = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < threshold)
-    packed = sampled.mapInArrow(mi.reader(lambda ids, x: pa.record_batch({"payload": pa.array(mi.encode(x), pa.binary())})), "payload binary").collect()
-    sample = mi.unit(mi.decode([r.payload for r in packed])) if packed else np.zeros((1, mi.DIMENSIONS), np.float32)
-    m = min(MOST_LEAVES, LEAVES_PER_BLOCK * math.ceil(max(rows, 1) / BLOCK_ROWS), max(1, len(sample) // 4))
-    centres = mi.kmeans(sample, m, seed=5)
-    centres = centres[_chain(centres)]
-    _, basis = np.linalg.eigh(sample.T.astype(np.float64) @ sample)
-    none = np.zeros(len(centres))
-    bare = Blocks(centres, none, none, none, np.ascontiguousarray(basis[:, ::-1][:, :HEAD], dtype=np.float32))
-    books = spark.sparkContext.broadcast(bare)
-
-    def measure(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        d = books.value.distances(mi.unit(x))
-        leaf = d.argmin(axis=1)
-        vector = [xxhash.xxh64_intdigest(p) - (1 << 63) for p in mi.encode(x)]
-        found = sorted(set(zip(leaf.tolist(), vector, d.min(axis=1).astype(float).tolist())))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["leaf", "vector", "d"])
-
-    different = vectors.mapInArrow(mi.reader(measure), "leaf long, vector long, d double").groupBy("leaf", "vector").agg(F.max("d").alias("d"))
-    sizes, radius = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), -np.inf)
-    for r in different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect():  # at most MOST_LEAVES rows
-        sizes[r.leaf], radius[r.leaf] = r.n, r.d
-    books.unpersist()
-    # as many blocks as needed, filled evenly; a leaf that is larger has blocks of its own
-    parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    small = int(sizes[parts == 1].sum())
-    fill = small / max(1, math.ceil(small / BLOCK_ROWS))
-    first, block, held = np.zeros(len(centres), dtype=np.int64), 0, 0
-    for leaf, n in enumerate(sizes.tolist()):
-        if parts[leaf] > 1 or held + n / 2 > fill:
-            block, held = block + (held > 0), 0
-        first[leaf] = block
-        held += n
-        if parts[leaf] > 1:
-            block, held = block + int(parts[leaf]), 0
-    return Blocks(centres, radius, first, parts, bare.basis)
-
-
-def send(spark: SparkSession, vectors: DataFrame, blocks: Blocks) -> DataFrame:
-    """One row per vector and pair of blocks that needs it (schema SENT); equal vectors of a batch travel as one row."""
-    shared = spark.sparkContext.broadcast(blocks)
-
-    def route(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        blocks = shared.value
-        groups: dict[bytes, list[int]] = {}
-        for i, p in enumerate(mi.encode(x)):
-            groups.setdefault(p, []).append(i)
-        d = blocks.distances(mi.unit(x[np.array([g[0] for g in groups.values()])]))
-        home, near = d.argmin(axis=1), blocks.reached(d)
-        columns: list[list] = [[] for _ in _SENT.names]
-        for r, (data, members) in enumerate(groups.items()):
-            leaf = int(home[r])
-            own = int(blocks.first[leaf] + xxhash.xxh64_intdigest(data) % int(blocks.parts[leaf]))
-            to = {own}
-            for other in np.flatnonzero(near[r]).tolist():
-                to.update(range(int(blocks.first[other]), int(blocks.first[other] + blocks.parts[other])))
-            all_ids = sorted(ids[members].tolist())
-            for other in to:
-                # copies are linked in the task of the block with itself; elsewhere any one of them stands for all
-                for column, value in zip(columns, (min(own, other), max(own, other), own, all_ids if other == own else all_ids[:1], data)):
-                    column.append(value)
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SENT.types)], schema=_SENT)
-
-    return vectors.mapInArrow(mi.reader(route), SENT)
-
-
-def bounding(u: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Coordinates whose products are never below those of u: the strongest, and the length of the rest."""
-    head = u @ basis
-    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", head, head, dtype=np.float64), 0) + 1e-6)
-    return np.concatenate([head, rest[:, None].astype(np.float32)], axis=1)
+ROWS, COLUMNS = 1024, 8192
+
+FOUND = "u long, v long, more boolean"
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
 
 def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -174,56 +54,69 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return labels, forest
 
 
-def hits(u: np.ndarray, stored, a: np.ndarray, b: np.ndarray, bound: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and b that are similar and not joined yet; near SIMILAR decided in double precision."""
-    i, j = np.nonzero(bound[a] @ bound[b].T >= SIMILAR - SLACK)
-    apart = labels[a[i]] != labels[b[j]]
-    i, j = i[apart], j[apart]
-    if len(i) > DENSE * len(a) * len(b):
-        s = (u[a] @ u[b].T)[i, j]
-    else:
-        s = np.concatenate([np.einsum("ij,ij->i", u[a[i[k : k + 8192]]], u[b[j[k : k + 8192]]]) for k in range(0, len(i), 8192)] or [np.empty(0, np.float32)])
-    open_ = np.flatnonzero(np.abs(s - SIMILAR) <= SLACK)
-    good = s >= SIMILAR
-    for k in range(0, len(open_), 8192):
-        own = open_[k : k + 8192]
-        x, y = (mi.decode([stored[r] for r in rows]).astype(np.float64) for rows in (a[i[own]], b[j[own]]))
-        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
-        good[own] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)) >= SIMILAR - 1e-9
-    return a[i[good]], b[j[good]]
-
-
-def links_of_pair(group: pa.Table, basis: np.ndarray) -> pa.Table:
-    """A spanning forest of the links between two blocks, or inside one with its copies."""
-    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-    at: dict[bytes, int] = {}
-    ids, side, edges = [], [], []
-    for of, own, payload in zip(*(group.column(c).to_pylist() for c in ("of", "ids", "payload"))):
-        if payload not in at:
-            at[payload] = len(at)
-            ids.append(own[0]), side.append(of)
-        one = ids[at[payload]]
-        if low == high:
-            edges += [(one, i) for i in own if i != one]
-    stored, side, n = list(at), np.array(side), len(at)
-    u = np.empty((n, mi.DIMENSIONS), dtype=np.float32)
-    for k in range(0, n, 8192):  # what is computed on the way takes several times the memory
-        u[k : k + 8192] = mi.unit(mi.decode(stored[k : k + 8192]))
-    bound, labels = bounding(u, basis), np.arange(n)
-    left, right = (np.flatnonzero(side == s) for s in (low, high))
-    for r in range(0, len(left), ROWS):
-        a = left[r : r + ROWS]
-        for c in range(r if low == high else 0, len(right), COLUMNS):
-            x, y = hits(u, stored, a, right[c : c + COLUMNS], bound, labels)
-            if len(x):
-                labels, forest = joined(labels, x, y)
-                edges += [(ids[p], ids[q]) for p, q in forest]
-    columns = list(zip(*edges)) or [[], []]
-    return pa.table([pa.array(v, t) for v, t in zip(columns, _EDGES.types)], schema=_EDGES)
-
-
-def similar_links(spark: SparkSession, vectors: DataFrame) -> DataFrame:
-    """Checkpointed (u, v): links whose components are the sets of vectors linked by cosines of SIMILAR and more."""
-    blocks = build_blocks(spark, vectors)
-    basis = blocks.basis
-    return cut_lineage(send(spark, vectors, blocks).groupBy("low", "high").applyInArrow(lambda group: links_of_pair(group, basis), EDGES))
+def hits(part: mi.Part, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a and b that are similar, the vector itself left out; near SIMILAR decided in double precision."""
+    s = part.x[a] @ part.x[b].T
+    i, j = np.nonzero(s >= SIMILAR - SLACK)
+    other = a[i] != b[j]
+    i, j = i[other], j[other]
+    good = s[i, j] >= SIMILAR + SLACK
+    for k in np.array_split(np.flatnonzero(~good), -(-int((~good).sum()) // 8192) or 1):
+        good[k] = np.einsum("ij,ij->i", part.exact(a[i[k]]), part.exact(b[j[k]])) >= SIMILAR - 1e-9
+    return i[good], j[good]
+
+
+def links_in_part(group: pa.Table) -> pa.Table:
+    """A spanning forest of the links of one part, its copies included, and the vectors that should ask for more."""
+    part = mi.gather(group)
+    n = len(part.ids)
+    first = np.array([i[0] for i in part.ids], dtype=np.int64)
+    entries = np.flatnonzero(part.entry)
+    home = np.array([part.cells[i][0] for i in entries], dtype=np.int64)
+    asking: dict[int, list[int]] = {}
+    for q in np.flatnonzero(part.asks).tolist():
+        cells = part.cells[q]
+        for c in cells[1:] if ~cells[0] in cells else cells:  # a home cell at the frontier comes twice
+            asking.setdefault(c, []).append(q)
+    labels, more, edges = np.arange(n), np.zeros(n, dtype=bool), []
+    for cell in np.unique(home).tolist():
+        own = entries[home == cell]
+        for c in (cell, ~cell):
+            queries = np.array(asking.get(c, ()), dtype=np.int64)
+            for low in range(0, len(queries), ROWS):
+                q = queries[low : low + ROWS]
+                for at in range(0, len(own), COLUMNS):
+                    e = own[at : at + COLUMNS]
+                    i, j = hits(part, q, e)
+                    if len(i):
+                        labels, forest = joined(labels, q[i], e[j])
+                        edges += forest
+                        if c < 0:
+                            more[q[i]] = True
+    pairs = [(first[a], first[b], False) for a, b in edges]
+    pairs += [(own[0], i, False) for own, entry, asks in zip(part.ids, part.entry, part.asks) if entry and asks for i in own[1:]]
+    pairs += [(i, i, True) for i in first[more].tolist()]
+    columns = list(zip(*pairs)) or [[], [], []]
+    return pa.table([pa.array(v, t) for v, t in zip(columns, _FOUND.types)], schema=_FOUND)
+
+
+def similar_links(spark: SparkSession, vectors: DataFrame, target: int | None = None) -> DataFrame:
+    """(u, v): links whose components are the sets of vectors linked by cosines of SIMILAR and more."""
+    target = mi.TARGET if target is None else target
+    index = mi.build_index(spark, vectors, target)
+    directions, task = int(index.held.sum()), list(mi.TASK)
+    sent, links = mi.send(spark, vectors, index, target, mark=target < directions), None
+    while True:
+        found = cut_lineage(sent.groupBy(*task).applyInArrow(links_in_part, FOUND))
+        own = found.where(~F.col("more")).select("u", "v")
+        links = own if links is None else links.unionByName(own)
+        more = found.where("more").select(F.col("u").alias("vec_id")).distinct()
+        left = more.count()
+        if not left or target >= directions:
+            return links
+        target *= WIDER
+        asking = cut_lineage(vectors.join(more, "vec_id", "left_semi"))
+        index.chunks = mi.chunks_of(spark, asking, left, index, target)
+        asked = mi.send(spark, asking, index, target, ("asks",), target < directions)
+        entries = mi.send(spark, vectors, index, target, ("entry",))
+        sent = entries.join(asked.select(*task).distinct(), task, "left_semi").unionByName(asked)
