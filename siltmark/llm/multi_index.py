@@ -170,7 +170,7 @@ class MultiIndex:
 
         With `mark` the cells that reach into the FRONTIER, the last directions visited, come as ~second.
         """
-        frontier = target - target // FRONTIER if mark else target
+        frontier = target - target // FRONTIER if mark else math.inf
         order = [a for a in np.argsort(d1, kind="stable").tolist() if a in self.filled]
         least = float(d2.min())
         heap: list[tuple[float, int, int]] = []
