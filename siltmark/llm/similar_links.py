@@ -1,10 +1,11 @@
 """Links between vectors with a cosine of at least SIMILAR, without a cap on how many a vector has.
 
 Every vector asks the multi-index (see `multi_index`) for the TARGET directions nearest to it by cells. One
-that still finds something similar in the last cells it visits, as in a crowd of more than TARGET similar
-vectors, asks again for WIDER times as many, and so on until its last cells hold nothing similar or
-everything was visited. So the traversal ends by what is found, and not by a count. Nearest cells may
-leave out a pair; recall is measured against brute force (see the README).
+that is still in a crowd in the last cells it visits (a part CROWD of the directions there are similar to it)
+asks again for WIDER times as many, and so on until it is out of the crowd or everything was visited. So
+what ends the traversal is what it finds, and not a count. Where no more than SCANNED vectors are left, they
+are sent to where all vectors lie instead, and meet every one. Nearest cells may leave out a pair; recall is
+measured against brute force (see the README).
 
 A task writes a spanning forest of its links, so pairs inside a set are never written.
 """
@@ -20,12 +21,15 @@ from siltmark.session import cut_lineage
 
 SIMILAR = 0.80
 WIDER = 8
+CROWD = 1 / 32
+#: Vectors in crowds that may be sent to every task.
+SCANNED = 8192
 #: What single precision is off by, at most, in a cosine.
 SLACK = 6e-5
 ROWS, COLUMNS = 1024, 8192
 
-FOUND = "u long, v long, more boolean"
-_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
+FOUND = "u long, v long, crowd int"
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("crowd", pa.int32())])
 
 
 def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -67,7 +71,7 @@ def hits(part: mi.Part, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def links_in_part(group: pa.Table) -> pa.Table:
-    """A spanning forest of the links of one part, its copies included, and the vectors that should ask for more."""
+    """A spanning forest of the links of one part, its copies included, and per vector what is similar to it at its frontier (crowd)."""
     part = mi.gather(group)
     n = len(part.ids)
     first = np.array([i[0] for i in part.ids], dtype=np.int64)
@@ -78,7 +82,7 @@ def links_in_part(group: pa.Table) -> pa.Table:
         cells = part.cells[q]
         for c in cells[1:] if ~cells[0] in cells else cells:  # a home cell at the frontier comes twice
             asking.setdefault(c, []).append(q)
-    labels, more, edges = np.arange(n), np.zeros(n, dtype=bool), []
+    labels, crowd, edges = np.arange(n), np.zeros(n, dtype=np.int64), []
     for cell in np.unique(home).tolist():
         own = entries[home == cell]
         for c in (cell, ~cell):
@@ -92,14 +96,39 @@ def links_in_part(group: pa.Table) -> pa.Table:
                         labels, forest = joined(labels, q[i], e[j])
                         edges += forest
                         if c < 0:
-                            more[q[i]] = True
-    pairs = [(first[a], first[b], False) for a, b in edges]
-    pairs += [(own[0], i, False) for own, entry, asks in zip(part.ids, part.entry, part.asks) if entry and asks for i in own[1:]]
-    pairs += [(i, i, True) for i in first[more].tolist()]
+                            crowd += np.bincount(q[i], minlength=n)
+    pairs = [(first[a], first[b], None) for a, b in edges]
+    pairs += [(own[0], i, None) for own, entry, asks in zip(part.ids, part.entry, part.asks) if entry and asks for i in own[1:]]
+    pairs += [(i, i, c) for i, c in zip(first[crowd > 0].tolist(), crowd[crowd > 0].tolist())]
     columns = list(zip(*pairs)) or [[], [], []]
     return pa.table([pa.array(v, t) for v, t in zip(columns, _FOUND.types)], schema=_FOUND)
 
 
+def scanned_links(vectors: DataFrame, asking: DataFrame) -> DataFrame:
+    """(u, v) links of at most SCANNED asking vectors with all vectors, a spanning forest per batch of rows."""
+    rows = asking.mapInArrow(mi.reader(lambda ids, x: pa.record_batch({"vec_id": pa.array(ids), "payload": pa.array(mi.encode(x), pa.binary())})), "vec_id long, payload binary").toArrow()
+    asked = np.asarray(rows.column("vec_id"), dtype=np.int64), mi.decode(rows.column("payload").to_pylist())
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)  # at most SCANNED vectors
+
+    def meet(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        other, y = shared.value
+        stored, names = np.concatenate([x, y]), np.concatenate([ids, other])
+        part = mi.Part(stored, mi.unit(stored), [], np.empty(0, bool), np.empty(0, bool), [])
+        labels, edges = np.arange(len(names)), []
+        for low in range(0, len(ids), ROWS):
+            q = np.arange(low, min(low + ROWS, len(ids)))
+            for at in range(len(ids), len(names), COLUMNS):
+                e = np.arange(at, min(at + COLUMNS, len(names)))
+                i, j = hits(part, q, e)
+                if len(i):
+                    labels, forest = joined(labels, q[i], e[j])
+                    edges += [(names[a], names[b]) for a, b in forest]
+        columns = list(zip(*edges)) or [[], []]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+
+    return vectors.mapInArrow(mi.reader(meet), "u long, v long").where("u <> v")
+
+
 def similar_links(spark: SparkSession, vectors: DataFrame, target: int | None = None) -> DataFrame:
     """(u, v): links whose components are the sets of vectors linked by cosines of SIMILAR and more."""
     target = mi.TARGET if target is None else target
@@ -108,14 +137,17 @@ def similar_links(spark: SparkSession, vectors: DataFrame, target: int | None =
     sent, links = mi.send(spark, vectors, index, target, mark=target < directions), None
     while True:
         found = cut_lineage(sent.groupBy(*task).applyInArrow(links_in_part, FOUND))
-        own = found.where(~F.col("more")).select("u", "v")
+        own = found.where("crowd IS NULL").select("u", "v")
         links = own if links is None else links.unionByName(own)
-        more = found.where("more").select(F.col("u").alias("vec_id")).distinct()
+        crowds = found.where("crowd IS NOT NULL").groupBy(F.col("u").alias("vec_id")).agg(F.sum("crowd").alias("n"))
+        more = crowds.where(F.col("n") >= CROWD * (target // mi.FRONTIER)).select("vec_id")
         left = more.count()
         if not left or target >= directions:
             return links
         target *= WIDER
         asking = cut_lineage(vectors.join(more, "vec_id", "left_semi"))
+        if left <= SCANNED:
+            return links.unionByName(cut_lineage(scanned_links(vectors, asking)))
         index.chunks = mi.chunks_of(spark, asking, left, index, target)
         asked = mi.send(spark, asking, index, target, ("asks",), target < directions)
         entries = mi.send(spark, vectors, index, target, ("entry",))
