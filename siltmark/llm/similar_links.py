@@ -145,9 +145,10 @@ def similar_links(spark: SparkSession, vectors: DataFrame, target: int | None =
         if not left or target >= directions:
             return links
         target *= WIDER
-        asking = cut_lineage(vectors.join(more, "vec_id", "left_semi"))
         if left <= SCANNED:
+            asking = vectors.join(F.broadcast(more), "vec_id", "left_semi")  # at most SCANNED ids
             return links.unionByName(cut_lineage(scanned_links(vectors, asking)))
+        asking = cut_lineage(vectors.join(more, "vec_id", "left_semi"))
         index.chunks = mi.chunks_of(spark, asking, left, index, target)
         asked = mi.send(spark, asking, index, target, ("asks",), target < directions)
         entries = mi.send(spark, vectors, index, target, ("entry",))
