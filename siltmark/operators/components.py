@@ -62,7 +62,8 @@ def near_hashes(df: DataFrame, h: str, radius: int) -> DataFrame:
     hashes = df.select(F.col(h).alias("h")).where(F.col(h).isNotNull()).distinct()
     spread = hashes.select("h", F.explode(block_keys(F.col("h"), radius, agreeing_blocks(hashes.count(), radius))).alias("key"))
     a, b = spread.select(F.col("h").alias("a"), "key"), spread.select(F.col("h").alias("b"), "key")
-    close = a.join(b, "key").where(F.col("a") < F.col("b")).withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    # one row per key: much more than the size of the hashes lets Spark expect, which may not be broadcast
+    close = a.join(b.hint("merge"), "key").where(F.col("a") < F.col("b")).withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
     return close.where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 

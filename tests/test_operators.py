@@ -64,6 +64,13 @@ def test_near_hashes_are_complete(spark, radius):
     assert got == want
 
 
+def test_keys_of_hashes_are_never_broadcast(spark):
+    """Many keys stand for a hash: what Spark expects of the hashes says nothing about their size."""
+    hashes = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    for radius in (4, 6):
+        assert "Broadcast" not in components.near_hashes(hashes, "h", radius)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels_of_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
