@@ -52,8 +52,8 @@ def block_keys(h: Column, radius: int, agreeing: int) -> Column:
 
 
 def agreeing_blocks(hashes: int, radius: int) -> int:
-    """Ranges per key, so that a key has about as many values as there are hashes and few meet by chance."""
-    wanted = math.log2(max(hashes, 2)) - 2
+    """Ranges per key, so that a hash meets about 32 others by chance: comparing those costs less than the rows of more keys."""
+    wanted = math.log2(max(hashes, 2)) - 5
     return next((k for k in range(1, 5) if HASH_BITS * k / (radius + k) >= wanted), 4)
 
 
