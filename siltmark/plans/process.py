@@ -9,7 +9,7 @@ from siltmark.functions import taxonomy
 from siltmark.operators import components, curate, splits
 from siltmark.plans.curation import tidy
 from siltmark.plans.registry import TIDY, query
-from siltmark.session import ensure_checkpoint_dir, table
+from siltmark.session import cut_lineage, ensure_checkpoint_dir, table
 from siltmark.streaming import ingest
 
 GAP = 21600
@@ -43,7 +43,7 @@ def near_dup_pairs_wide(spark, sf):
 
 @query("components", f"WITH RECURSIVE {near_sql(6)}, s AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), r(node, near) AS (SELECT u, v FROM s UNION SELECT r.node, s.v FROM r JOIN s ON s.u = r.near) SELECT node, least(node, min(near)) AS label FROM r GROUP BY 1")
 def connected(spark, sf):
-    edges = components.near_hashes(table(spark, sf, "pool_manifest"), "phash", 6).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = cut_lineage(components.near_hashes(table(spark, sf, "pool_manifest"), "phash", 6).select(F.col("a").alias("u"), F.col("b").alias("v")))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node"))
     return components.smallest_labels(nodes, edges)
 
