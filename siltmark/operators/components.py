@@ -73,7 +73,7 @@ def unseen_hashes(new: DataFrame, seen: DataFrame, h: str, radius: int) -> DataF
     theirs = seen.select(F.col(h).alias("b")).where(F.col(h).isNotNull()).distinct()
     agreeing = agreeing_blocks(theirs.count(), radius)
     ours, theirs = ours.select("a", F.explode(block_keys(F.col("a"), radius, agreeing)).alias("key")), theirs.select("b", F.explode(block_keys(F.col("b"), radius, agreeing)).alias("key"))
-    known = ours.join(theirs, "key").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select(F.col("a").alias(h)).distinct()
+    known = ours.join(theirs.hint("merge"), "key").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select(F.col("a").alias(h)).distinct()
     return new.join(known, h, "left_anti")
 
 

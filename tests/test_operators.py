@@ -71,6 +71,15 @@ def test_keys_of_hashes_are_never_broadcast(spark):
         assert "Broadcast" not in components.near_hashes(hashes, "h", radius)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keys_of_seen_hashes_are_never_broadcast(spark):
+    """Kept hashes of a stream grow: their keys meet those of the new ones in a merge join."""
+    new, seen = spark.range(100).select("id", F.xxhash64("id").alias("h")), spark.range(50, 1000).select(F.xxhash64("id").alias("h"))
+    found = components.unseen_hashes(new, seen, "h", 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+    assert sorted(r.id for r in found.collect()) == list(range(50))
+
+
 def test_labels_of_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
