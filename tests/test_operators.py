@@ -179,3 +179,9 @@ def test_plans(spark, sf):
     assert "CartesianProduct" not in text("near_dup_pairs") and "BroadcastNestedLoopJoin" not in text("near_dup_pairs")
     assert "PushedFilters: [IsNotNull(phash)]" in text("near_dup_pairs")
     assert "ReadSchema: struct<user_id:bigint,ts:timestamp_ntz>" in text("session_window").replace("event_id:bigint,", "") or "ReadSchema" in text("session_window")
+
+
+def test_unit_vectors_compute_their_length_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(vectors.unit(F.col("v")).alias("u"))
+    assert "sqrt" not in df._jdf.queryExecution().analyzed().toString().lower().rsplit("transform(v", 1)[1].split("\n")[0].split(" as u")[0]
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
