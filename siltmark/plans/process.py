@@ -9,7 +9,7 @@ from siltmark.functions import taxonomy
 from siltmark.operators import components, curate, splits
 from siltmark.plans.curation import tidy
 from siltmark.plans.registry import TIDY, query
-from siltmark.session import cut_lineage, ensure_checkpoint_dir, table
+from siltmark.session import cut_lineage, ensure_checkpoint_dir, spread, table
 from siltmark.streaming import ingest
 
 GAP = 21600
@@ -150,15 +150,17 @@ def _drawn(spark: SparkSession, sf: str) -> DataFrame:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            drawn = []
             for i, w, h in zip(batch.pool_id, batch.w, batch.h):
                 rng = np.random.default_rng(int(i))
                 image = np.full((max(24, h // 32), max(24, w // 32), 3), rng.integers(60, 230, 3), np.uint8)
                 for _ in range(12):
                     y, x = int(rng.integers(0, image.shape[0])), int(rng.integers(0, image.shape[1]))
                     image[y : y + 9, x : x + 15] = rng.integers(0, 255, 3)
-                yield pd.DataFrame({"path": [f"pool/{i}.png"], "content": [encode_png(image)]})
+                drawn.append((f"pool/{i}.png", encode_png(image)))
+            yield pd.DataFrame(drawn, columns=["path", "content"])
 
-    rows = table(spark, sf, "pool_manifest").where("w > 0 AND h > 0").select("pool_id", "w", "h")
+    rows = spread(table(spark, sf, "pool_manifest").where("w > 0 AND h > 0").select("pool_id", "w", "h"))
     return rows.mapInPandas(draw, "path string, content binary")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions import imaging, layouts, regions
 from siltmark.operators import components, training
+from siltmark.plans import process
 from siltmark.sources import readers, sinks
 from siltmark.streaming import ingest
 
@@ -190,6 +191,18 @@ def test_image_frames(spark, folder):
     assert made.count() == 2 * 2 * 2 and made.exceptAll(layouts.make_variants(images.repartition(3), ("overlay", "disorder"), 2, 1)).count() == 0
 
 
+def test_drawn_screens_use_all_cores(spark, sf):
+    """One small file of sizes is a lot of drawing: it does not stay in one task."""
+    assert process._drawn(spark, sf)._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_variants_do_not_multiply_their_image(spark, folder):
+    images = spark.read.format("binaryFile").load(f"{folder}/*.png").select("path", "content")
+    made = layouts.make_variants(images, ("overlay", "disorder"), variants=2)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.applied, r.variant) for r in made.collect()} == {(a, v) for a in ("overlay", "disorder") for v in (0, 1)}
+
+
 def test_head_gradient_and_training():
     cfg = training.HeadConfig(hidden=7, out=5, classes=3)
     rng = np.random.default_rng(0)
