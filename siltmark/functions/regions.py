@@ -29,9 +29,11 @@ MEASURES = "array<struct<kind:string,part:double,light:double,sides:array<string
 
 def runs(mask: np.ndarray) -> np.ndarray:
     """(row, start, end) of every run of a mask, row by row."""
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, start = np.nonzero(edge == 1)
-    return np.stack([row, start, np.nonzero(edge == -1)[1]], axis=1)
+    h, w = mask.shape
+    padded = np.zeros((h, w + 2), bool)
+    padded[:, 1:-1] = mask
+    row, edge = np.divmod(np.flatnonzero(padded[:, 1:] != padded[:, :-1]), w + 1)
+    return np.stack([row[::2], edge[::2], edge[1::2]], axis=1)  # in a row, starts and ends take turns
 
 
 def joined_runs(run: np.ndarray, width: int) -> np.ndarray:
@@ -61,12 +63,15 @@ def flat_regions(image: np.ndarray) -> list[dict]:
     """Measures of the flat regions of at least the smallest part: kind, part, mean light, sides, extent and box, as parts of the screen."""
     scale = WORK / max(image.shape[:2])
     h, w = (max(1, int(n * scale)) for n in image.shape[:2])
-    light = resize(image, h, w).mean(axis=2, dtype=np.float32)
+    red, green, blue = np.moveaxis(resize(image, h, w), 2, 0).astype(np.float32)
+    light = (red + green + blue) / np.float32(3)
     spread = box_mean(light * light, WINDOW) - box_mean(light, WINDOW) ** 2
     flat = spread < FLAT**2
     total = np.pad(light.astype(np.float64).cumsum(axis=1), ((0, 0), (1, 0)))
     out = []
     for kind, mask in (("black_region", flat & (light < BLACK)), ("empty_space", flat & (light >= BLACK))):
+        if np.count_nonzero(mask) < LEAST[kind] * h * w:
+            continue  # no region of it can be large enough
         run = runs(mask)
         name, region = np.unique(joined_runs(run, w), return_inverse=True)
         row, start, end = run.T
