@@ -13,8 +13,9 @@ segment, and ends at once if the shard holds no name of that gate. A name and it
 vector: the rank of the gate among those of the shard, letter triples of the words as typed, and the group.
 Beams are tuned per shard against exhaustive search, which takes over where the graph falls short.
 What is found is reranked exactly: same gate and group, and words that agree after correction or, where
-the lexicon knows one of two words not at all, but for one typing error each. Names that the beam does not
-reach are looked up by gate and group, so a narrow beam loses nothing.
+the lexicon knows one of two words not at all, but for one typing error each. In an earlier segment one match
+that the graph reaches settles a name; only where it reaches none, or in the own segment where the smallest
+id counts, the other names of the gate and group are compared, so a narrow beam loses nothing.
 
 Rows without a readable name or without a group bring something new by definition.
 """
@@ -24,6 +25,8 @@ from __future__ import annotations
 import math
 import pickle
 import uuid
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +112,12 @@ def searcher(known: dict[str, int]):
             for i, (gate, group) in enumerate(zip(gates, groups)):
                 held.setdefault((gate, group), []).append(i)
                 of_gate[gate] = of_gate.get(gate, 0) + 1
+
+            def matching(asked_words: str, candidates: Iterable[int], every: bool) -> list[int]:
+                """`first` of the candidates that match: of every one, or of one."""
+                found = (first[k] for k in candidates if same_words(asked_words, words[k], lambda w: w not in known))
+                return list(found if every else islice(found, 1))
+
             for batch in asked.to_batches(max_chunksize=4 * small_world.BLOCK):
                 c = batch.to_pydict()
                 # no other name of this gate in the shard: nothing can match but, in the own segment, the name itself
@@ -118,9 +127,12 @@ def searcher(known: dict[str, int]):
                     continue
                 ids, _ = graph.search(vectors([rank[c["gate"][i]] for i in rows], [c["raw"][i] for i in rows], [c["group_key"][i] for i in rows]))
                 for i, near in zip(rows, ids.tolist()):
-                    key = c["gate"][i], c["group_key"][i]
-                    reached = [k for k in near if k >= 0 and (gates[k], groups[k]) == key]
-                    matches = [first[k] for k in {*reached, *held.get(key, ())} if same_words(c["words"][i], words[k], lambda w: w not in known)]
+                    key, own = (c["gate"][i], c["group_key"][i]), c["own"][i]
+                    reached = {k for k in near if k >= 0 and (gates[k], groups[k]) == key}
+                    matches = matching(c["words"][i], reached, own)
+                    # an earlier segment holds the name or not: what the graph found is enough; else the rest of the key is compared
+                    if (own or not matches) and len(reached) < len(held.get(key, ())):
+                        matches += matching(c["words"][i], (k for k in held[key] if k not in reached), own)
                     if matches:
                         out.append((c["batch_no"][i], c["entry"][i], c["own"][i], min(matches)))
         columns = list(zip(*out)) or [[], [], [], []]

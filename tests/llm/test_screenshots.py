@@ -179,6 +179,19 @@ def test_p3_names_beyond_the_beam():
     assert sorted((r["entry"], r["first"]) for r in p3_history.searcher({})(graphs, asked).to_pylist()) == [(i, i) for i in range(n)]
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_p3_graph_settles_names(monkeypatch, own):
+    """What the graph reaches in an earlier segment ends the comparison; in the own one the smallest id counts."""
+    n = 3000
+    name = {"gate": ["ticket|77|fold|1||"] * n, "words": [f"w{i:04d}||" for i in range(n)], "raw": [f"w{i:04d}" for i in range(n)], "group_key": ["g"] * n}
+    graphs = p3_history.build_shard(pa.table({"segment": ["history"] * n, "shard": [0] * n, **name, "first": list(range(n))}))
+    asked = pa.table({"batch_no": pa.array([1] * n, pa.int32()), **name, "entry": list(range(n)), "own": [own] * n})
+    compared = []
+    monkeypatch.setattr(p3_history, "same_words", lambda a, b, unknown: compared.append(a) or a == b)
+    assert sorted(r["entry"] for r in p3_history.searcher({})(graphs, asked).to_pylist()) == list(range(n))
+    assert len(compared) == n * n if own else len(compared) < n * n / 2
+
+
 def test_p3_covering():
     def places(segment):
         level, at = map(int, segment.split("-"))
