@@ -13,6 +13,7 @@ from siltmark.session import cut_lineage, ensure_checkpoint_dir, spread, table
 from siltmark.streaming import ingest
 
 GAP = 21600
+SHRINK = 32
 
 
 @query("sessionize", f"WITH a AS (SELECT user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS d FROM events), b AS (SELECT *, sum(CASE WHEN d > {GAP}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM a) SELECT user_id, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY 1, 2")
@@ -140,23 +141,32 @@ def stream_perceptual(spark, sf):
 
 
 def _drawn(spark: SparkSession, sf: str) -> DataFrame:
-    """Screens drawn from the sizes of the pool: there are no image files in the test tables."""
+    """Screens drawn from the sizes of the pool: there are no image files in the test tables.
+
+    They keep their aspect ratio and are smaller than the pool's, by SHRINK at most and only as far as `least_side` allows;
+    what is drawn takes the same part of a screen at any scale.
+    """
     from collections.abc import Iterator
 
     import numpy as np
     import pandas as pd
 
     from siltmark.functions.imaging import encode_png
+    from siltmark.functions.layouts import least_side
+
+    least = least_side()
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             drawn = []
             for i, w, h in zip(batch.pool_id, batch.w, batch.h):
                 rng = np.random.default_rng(int(i))
-                image = np.full((max(24, h // 32), max(24, w // 32), 3), rng.integers(60, 230, 3), np.uint8)
+                by = max(1, min(SHRINK, min(w, h) / least))
+                image = np.full((max(least, int(h / by)), max(least, int(w / by)), 3), rng.integers(60, 230, 3), np.uint8)
+                tall, wide = (int(n * min(image.shape[:2]) / max(24, min(w, h) // SHRINK)) for n in (9, 15))
                 for _ in range(12):
                     y, x = int(rng.integers(0, image.shape[0])), int(rng.integers(0, image.shape[1]))
-                    image[y : y + 9, x : x + 15] = rng.integers(0, 255, 3)
+                    image[y : y + tall, x : x + wide] = rng.integers(0, 255, 3)
                 drawn.append((f"pool/{i}.png", encode_png(image)))
             yield pd.DataFrame(drawn, columns=["path", "content"])
 
@@ -173,12 +183,12 @@ def image_hashes(spark, sf):
 
 @query("image_variants")
 def image_variants(spark, sf):
-    """Sizes and hashes of every injected and reflowed variant."""
+    """Number of different sizes and hashes of every injected and reflowed variant."""
     from siltmark.functions import imaging, layouts
 
     made = layouts.make_variants(_drawn(spark, sf), layouts.OPERATORS)
     hashed = imaging.hash_images(made.select(F.concat_ws("__", "parent", "applied").alias("path"), "content"))
-    return hashed.groupBy(F.element_at(F.split("path", "__"), -1).alias("applied")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("phash").alias("n_hashes"))
+    return hashed.groupBy(F.element_at(F.split("path", "__"), -1).alias("applied")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("w", "h").alias("n_sizes"), F.countDistinct("phash").alias("n_hashes"))
 
 
 @query("image_regions")

@@ -196,6 +196,27 @@ def test_drawn_screens_use_all_cores(spark, sf):
     assert process._drawn(spark, sf)._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_operators_change_drawn_screens(spark, tmp_path):
+    """No screen is drawn too small for an operator, and new aspect ratios are seen in the result."""
+    sizes = [(1080, 2520), (1080, 2520), (2520, 1080), (1440, 3120), (1768, 2208), (2076, 2152), (9000, 6000), (50, 3000), (1, 1), (0, 9), (-1, -1), (None, 9)]
+    spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(sizes)], "pool_id long, w int, h int").coalesce(1).write.parquet(str(tmp_path / "pool_manifest.parquet"))
+    drawn = {int(r.path[5:-4]): imaging.decode_png(bytes(r.content)) for r in process._drawn(spark, str(tmp_path)).collect()}
+    assert sorted(drawn) == list(range(9))
+    for i, image in drawn.items():
+        h, w, _ = image.shape
+        assert min(h, w) >= 91
+        if min(sizes[i]) > 64:
+            assert w / h == pytest.approx(sizes[i][0] / sizes[i][1], rel=0.03)
+        for seed in range(5):
+            for name in layouts.CANVASES:
+                out = layouts.apply(name, image, np.random.default_rng(seed))
+                assert out.shape != image.shape or (out != image).any(), (sizes[i], name)
+            assert np.prod(layouts.apply("ar_relayout", image, np.random.default_rng(seed)).shape) == pytest.approx(image.size, rel=0.03)
+    found = {r.applied: r for r in process.image_variants(spark, str(tmp_path)).collect()}
+    assert set(found) == set(layouts.OPERATORS) and {r.n for r in found.values()} == {9}
+    assert found["ar_relayout"].n_sizes == 9 and {r.n_sizes for a, r in found.items() if a != "ar_relayout"} == {8}
+
+
 def test_variants_do_not_multiply_their_image(spark, folder):
     images = spark.read.format("binaryFile").load(f"{folder}/*.png").select("path", "content")
     made = layouts.make_variants(images, ("overlay", "disorder"), variants=2)
