@@ -114,7 +114,7 @@ def measured(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            decoded = [decode_png(content) for content in batch.content]
+            decoded = map(decode_png, batch.content)  # one after the other: a batch of them is large
             yield pd.DataFrame({"path": batch.path, "flat": pd.Series([None if i is None else flat_regions(i) for i in decoded], index=batch.index, dtype=object)})
 
     return images.select("path", "content").mapInPandas(run, f"path string, flat {MEASURES}")

@@ -181,6 +181,19 @@ def test_regions(spark):
     assert np.max(labelled(snake)) == 1
 
 
+def test_regions_hold_one_image_at_a_time(monkeypatch):
+    import types
+
+    import pandas as pd
+
+    held, most = [], []
+    monkeypatch.setattr(regions, "decode_png", lambda content: held.append(content) or screen())
+    monkeypatch.setattr(regions, "flat_regions", lambda image: most.append(len(held)) or held.clear() or [])
+    frame = types.SimpleNamespace(mapInPandas=lambda run, schema: list(run(iter([pd.DataFrame({"path": list("abc"), "content": [b""] * 3})]))))
+    (out,) = regions.measured(types.SimpleNamespace(select=lambda *c: frame))
+    assert most == [1, 1, 1] and out.flat.tolist() == [[], [], []]
+
+
 def test_image_frames(spark, folder):
     images = spark.read.format("binaryFile").load(f"{folder}/*.png").select("path", "content")
     hashed = {r.path.rsplit("/", 1)[-1]: r for r in imaging.hash_images(images).collect()}
